@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "_engram_shipped"
+_BATCH, _DEFAULT, ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,8 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so that workers can import it without a shared path."""
+    """Send this package to the executors once per context, so that workers can import it without a shared path. Texts go
+    to Python in batches of ROWS_AT_ONCE, unless the session says otherwise."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, ROWS_AT_ONCE)
     if getattr(sc, _SHIPPED, False):
         return
     setattr(sc, _SHIPPED, True)

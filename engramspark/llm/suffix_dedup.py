@@ -22,8 +22,10 @@ from .scratch import Scratch
 LEAST, K = 100, 24
 #: Chunks of one anchor that are sorted together; more are divided by salts, whose windows meet in a second round.
 GROUP = 256
+#: Bytes of text in which anchors are looked for at once; longer texts are one block.
+BLOCK = 1 << 18
 #: Chunks in one suffix array, unless a group has more.
-SHARD = 6000
+SHARD = 2000
 
 
 def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,14 +60,14 @@ def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _anchors_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offs = W.utf8(batch.column(1))
-        for _, _, part, own in W.blocks(raw, offs):
+        for _, _, part, own in W.blocks(raw, offs, BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array(anchors(part, own)[3].view(np.int64))], names=["anchor"])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offs = W.utf8(batch.column(1))
-        for lo, _, part, own in W.blocks(raw, offs):
+        for lo, _, part, own in W.blocks(raw, offs, BLOCK):
             text, starts, ends, anchor = anchors(part, own)
             if len(text):
                 chunk = W.span_hashes(part, starts, ends).view(np.int64)
