@@ -15,7 +15,9 @@ from . import words as W
 from .components import components
 from .scratch import Scratch
 
-BANDS, ROWS, CHECKED, BATCH = 40, 5, 128, 32
+BANDS, ROWS, CHECKED, BATCH = 40, 5, 200, 40
+#: Classes of one key that are compared in one task; more are dealt out as pairs of blocks.
+BLOCK = 1000
 
 
 @lru_cache(None)
@@ -121,21 +123,92 @@ def _prune(bounds: tuple[int, ...]):
     return run
 
 
+def _across(bounds: tuple[int, ...], forest: bool):
+    """Rows (key, low, high, block, rep, label, sig), sorted by the first three -> pairs of different labels, one from each
+    block, that reach the bounds. With forest, of these only a spanning forest over the labels of greatest likeness: were signatures exact, it
+    would have all links that components need."""
+
+    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+        low, high = rows[0][1:3]
+        sides = [side for x in ((low, high) if low != high else (low,)) if (side := [r for r in rows if r[3] == x])]
+        if len(sides) < (2 if low != high else 1):
+            return []
+        reps, labels, sigs = zip(*((np.array([r[4] for r in side]), np.array([r[5] for r in side]), np.frombuffer(b"".join(r[6] for r in side), np.uint16).reshape(-1, CHECKED)) for side in sides))
+        other, found = len(reps) - 1, []
+        for i in range(len(reps[0])):
+            alive = np.flatnonzero(labels[other] != labels[0][i])
+            if not other:
+                alive = alive[alive > i]
+            equal = np.zeros(len(alive), np.int64)
+            for j, least in enumerate(bounds):
+                if not len(alive):
+                    break
+                part = slice(j * BATCH, (j + 1) * BATCH)
+                equal += (sigs[other][alive, part] == sigs[0][i, part]).sum(axis=1)
+                keep = equal >= least
+                alive, equal = alive[keep], equal[keep]
+            if len(alive):
+                found.append((np.full(len(alive), i), alive, equal))
+        if not found:
+            return []
+        left, right, equal = (np.concatenate(x) for x in zip(*found))
+        if forest:
+            order = np.argsort(-equal, kind="stable")
+            left, right, parent, out = left[order], right[order], {}, []
+
+            def root(x: int) -> int:
+                while parent.setdefault(x, x) != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for x, y, lx, ly in zip(reps[0][left].tolist(), reps[other][right].tolist(), labels[0][left].tolist(), labels[other][right].tolist()):
+                if (u := root(lx)) != (v := root(ly)):
+                    parent[u] = v
+                    out.append((min(x, y), max(x, y)))
+            return out
+        x, y = reps[0][left], reps[other][right]
+        return list(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        found: set[tuple[int, int]] = set()
+
+        def batch_of(found: set[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = zip(*sorted(found)) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if group and row[:3] != group[-1][:3]:
+                    found.update(pairs(group))
+                    group = []
+                    if len(found) > 100_000:
+                        yield batch_of(found)
+                        found = set()
+                group.append(row)
+        if group:
+            found.update(pairs(group))
+        yield batch_of(found)
+
+    return run
+
+
 def near_duplicates(
-    docs: DataFrame, percent: int = 75, n: int = 5, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-9
+    docs: DataFrame, percent: int = 75, n: int = 5, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-6
 ) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; a row for each row of docs.
 
     A text's set has its distinct n-word shingles (A-Z lower-cased; all words if there are fewer than n). Texts with
     100 * shared >= percent * union are linked; a component's id is its smallest doc_id. Candidates share one of bands
     keys of rows minimum hashes: a pair at 0.75 is missed with probability (1 - 0.75 ** 5) ** 40 = 2e-5, one at 0.8
-    with 2e-7. Batches of 32 hashes prune a candidate once P(similarity >= threshold) < miss; survivors are compared
+    with 2e-7. Batches of 40 hashes prune a candidate once P(similarity >= threshold) < miss; survivors are compared
     by their full sets.
 
     Equal sets are one class from the start. Of the rest, each class is first compared with the smallest class it
-    shares a key with. Where a key's classes then still lie in several components, its classes outside the largest are
-    compared with those of other components there; pairs known to be connected are never made. This loses no
-    link, and a group of near copies costs a number of pairs linear in its size.
+    shares a key with. Where a key's classes then still lie in several components, those of different components
+    are compared by signature, BLOCK by BLOCK: of the pairs that survive, first a spanning forest of the likest is checked, and then
+    those that still lie across components. Pairs known to be connected are never made. This loses no link, and a group of near copies costs a number of pairs linear in its size.
 
     Null or blank text: empty set, linked with nothing, its own component. Null doc_id: kept, component_id null, not
     linked. Rows that repeat a doc_id get one component; if their texts differ, the links of the text with the smallest set
@@ -170,23 +243,24 @@ def near_duplicates(
         both = alive.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
         return scratch.cut(both.filter(f"100 * shared >= {percent} * (size(ta) + size(tb) - shared)").select("a", "b"), f"{tag}-links")
 
-    first = shared.filter("hub < rep").groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
-    links = verified(first, "first")
-    label = components(links, scratch, "first-components")
-
-    # what a key's classes are still divided into
-    labelled = scratch.cut(
-        shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), "labelled"
-    )
-    parts = labelled.groupBy("key", "label").agg(F.count("*").alias("size"))
-    mixed = scratch.cut(
-        parts.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("top.label").alias("main")), "mixed"
-    )
-    divided = scratch.cut(labelled.join(mixed, "key"), "divided")
-    outside = divided.filter("label <> main").select("key", F.col("rep").alias("x"), F.col("label").alias("lx"))
-    crossing = outside.join(divided.select("key", F.col("rep").alias("y"), F.col("label").alias("ly"), "main"), "key").filter("lx <> ly and (ly = main or x < y)")
-    second = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = links.unionByName(verified(second.join(first, ["a", "b"], "left_anti"), "second"))
+    tested = shared.filter("hub < rep").groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
+    links = verified(tested, "first")
+    # what a key's classes are still divided into: pairs across components are compared by signature block by block, first
+    # a spanning forest of the likest, then all that may still be links
+    for tag, forest in (("forest", True), ("rest", False)):
+        label = components(links, scratch, f"{tag}-components")
+        labelled = scratch.cut(
+            shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), f"{tag}-labelled"
+        )
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.count("*").alias("size")).filter("one <> other")
+        mixed = scratch.cut(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), f"{tag}-mixed")
+        divided = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+        divided = divided.join(classes.select("rep", "sig"), "rep").withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+        divided = divided.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "rep", "label", "sig")
+        divided = divided.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        pairs = divided.mapInArrow(_across(bounds, forest), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = scratch.cut(pairs, f"{tag}-pairs")
+        tested, links = tested.unionByName(pairs), links.unionByName(verified(pairs, tag))
 
     # rows of one class share its representative's component
     tied = components(links, scratch, "components").select(F.col("node").alias("rep"), "label")
