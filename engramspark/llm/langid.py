@@ -77,14 +77,15 @@ class Model:
         return best, float(p[best] / p.sum())
 
 
-def train(x: np.ndarray, y: np.ndarray, k: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """x: rows of counts, each divided by its sum. Returns the folded scores and the bias."""
+def train(x: np.ndarray, y: np.ndarray, k: int, own: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """x: rows of counts, each divided by its sum; own: the rows to learn from, which are not copied. Returns the folded
+    scores and the bias."""
     random = np.random.default_rng(seed)
     embeddings = random.normal(0, 0.5, (BUCKETS, DIMENSIONS)).astype(np.float32)
     linear, bias = random.normal(0, 0.1, (DIMENSIONS, k)).astype(np.float32), np.zeros(k, np.float32)
-    steps, step = EPOCHS * -(-len(x) // BATCH), 0
+    steps, step = EPOCHS * -(-len(own) // BATCH), 0
     for _ in range(EPOCHS):
-        for rows in np.array_split(random.permutation(len(x)), -(-len(x) // BATCH)):
+        for rows in np.array_split(own[random.permutation(len(own))], -(-len(own) // BATCH)):
             rate, step = RATE * (1 - step / steps), step + 1
             f = x[rows]
             mean = f @ embeddings
@@ -130,11 +131,13 @@ def fit(labelled: DataFrame, quota: int = QUOTA, most: int = MOST, refused: floa
     for i, (at, n) in enumerate(zip(rows["at"], rows["n"])):
         x[i, np.frombuffer(at, np.int16)] = np.frombuffer(n, np.float32)
     x /= np.maximum(1, x.sum(axis=1, keepdims=True))
+    whole_rows = rows.pop("whole").to_numpy()
+    del rows
     held = np.random.default_rng(11).random(len(x)) < 0.2
     if held.all() or not held.any():
         held[:] = False
-    scores, bias = train(x[~held], y[~held], len(languages))
-    whole = held & rows["whole"].to_numpy()
+    scores, bias = train(x, y, len(languages), np.flatnonzero(~held))
+    whole = held & whole_rows
     temperature, refuse = calibrate(x[whole] @ scores + bias, y[whole], refused) if whole.any() else (1.0, 0.0)
     return Model(languages, scores, bias, temperature, refuse)
 
