@@ -16,8 +16,8 @@ from .components import components
 from .scratch import Scratch
 
 BANDS, ROWS, CHECKED, BATCH = 40, 5, 200, 40
-#: Classes of one key that are compared in one task; more are dealt out as pairs of blocks.
-BLOCK = 1000
+#: Classes of one key that are compared at a time, and the shingles they have together; more are dealt out as pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
 
 
 @lru_cache(None)
@@ -123,73 +123,73 @@ def _prune(bounds: tuple[int, ...]):
     return run
 
 
-def _across(bounds: tuple[int, ...], forest: bool):
-    """Rows (key, low, high, block, rep, label, sig), sorted by the first three -> pairs of different labels, one from each
-    block, that reach the bounds. With forest, of these only a spanning forest over the labels of greatest likeness: were signatures exact, it
-    would have all links that components need."""
+def _across(bounds: tuple[int, ...], percent: int):
+    """Rows (key, low, high, block, rep, label, sig, shingles), sorted by the first three -> links between different labels,
+    one class from each block. A class is compared with those of other labels by signature in batches, with the survivors by
+    whole sets; a link joins its two labels. So the links are a spanning forest of all that there are."""
 
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+    def one_side(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        sizes = np.array([len(r[7]) for r in rows])
+        return np.array([r[4] for r in rows]), np.array([r[5] for r in rows]), np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, CHECKED), sizes, np.cumsum(sizes) - sizes
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
         low, high = rows[0][1:3]
-        sides = [side for x in ((low, high) if low != high else (low,)) if (side := [r for r in rows if r[3] == x])]
-        if len(sides) < (2 if low != high else 1):
+        left, right = ([r for r in rows if r[3] == x] for x in (low, high))
+        if not left or not right:
             return []
-        reps, labels, sigs = zip(*((np.array([r[4] for r in side]), np.array([r[5] for r in side]), np.frombuffer(b"".join(r[6] for r in side), np.uint16).reshape(-1, CHECKED)) for side in sides))
-        other, found = len(reps) - 1, []
-        for i in range(len(reps[0])):
-            alive = np.flatnonzero(labels[other] != labels[0][i])
-            if not other:
+        vocabulary, ids = np.unique(np.concatenate([r[7] for r in rows]), return_inverse=True)
+        at = np.cumsum([0, *(len(r[7]) for r in rows)])
+        own = {id(r): ids[at[i] : at[i + 1]] for i, r in enumerate(rows)}
+        reps, labels, sigs, sizes, starts = one_side(right)
+        flat, mine, out = np.concatenate([own[id(r)] for r in right]), np.zeros(len(vocabulary), bool), []
+        lefts = np.array([r[5] for r in left])
+        for i, row in enumerate(left):
+            # within one block both sides are the same rows, whose labels are joined together
+            alive = np.flatnonzero(labels != lefts[i])
+            if low == high:
                 alive = alive[alive > i]
-            equal = np.zeros(len(alive), np.int64)
+            alive = alive[100 * np.minimum(sizes[alive], len(row[7])) >= percent * np.maximum(sizes[alive], len(row[7]))]
+            sig, equal = np.frombuffer(row[6], np.uint16), np.zeros(len(alive), np.int64)
             for j, least in enumerate(bounds):
                 if not len(alive):
                     break
                 part = slice(j * BATCH, (j + 1) * BATCH)
-                equal += (sigs[other][alive, part] == sigs[0][i, part]).sum(axis=1)
+                equal += (sigs[alive, part] == sig[part]).sum(axis=1)
                 keep = equal >= least
                 alive, equal = alive[keep], equal[keep]
-            if len(alive):
-                found.append((np.full(len(alive), i), alive, equal))
-        if not found:
-            return []
-        left, right, equal = (np.concatenate(x) for x in zip(*found))
-        if forest:
-            order = np.argsort(-equal, kind="stable")
-            left, right, parent, out = left[order], right[order], {}, []
-
-            def root(x: int) -> int:
-                while parent.setdefault(x, x) != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for x, y, lx, ly in zip(reps[0][left].tolist(), reps[other][right].tolist(), labels[0][left].tolist(), labels[other][right].tolist()):
-                if (u := root(lx)) != (v := root(ly)):
-                    parent[u] = v
-                    out.append((min(x, y), max(x, y)))
-            return out
-        x, y = reps[0][left], reps[other][right]
-        return list(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+            if not len(alive):
+                continue
+            mine[own[id(row)]] = True
+            n = sizes[alive]
+            ends = np.cumsum(n)
+            both = np.add.reduceat(mine[flat[np.arange(ends[-1]) + np.repeat(starts[alive] - ends + n, n)]].astype(np.int64), ends - n)
+            mine[own[id(row)]] = False
+            linked = alive[100 * both >= percent * (n + len(row[7]) - both)]
+            for label in np.unique(labels[linked]):
+                partner, kept = int(reps[linked[labels[linked] == label][0]]), lefts[i]
+                out.append((min(row[4], partner), max(row[4], partner)))
+                lefts[lefts == label] = kept
+                linked = linked[labels[linked] != label]
+                labels[labels == label] = kept
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        found: set[tuple[int, int]] = set()
 
-        def batch_of(found: set[tuple[int, int]]) -> pa.RecordBatch:
-            a, b = zip(*sorted(found)) if found else ((), ())
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = zip(*found) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            lists = batch.column(7)
+            values, offs = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            for i, row in enumerate(zip(*(batch.column(i).to_pylist() for i in range(7)))):
                 if group and row[:3] != group[-1][:3]:
-                    found.update(pairs(group))
+                    yield batch_of(links(group))
                     group = []
-                    if len(found) > 100_000:
-                        yield batch_of(found)
-                        found = set()
-                group.append(row)
+                group.append((*row, values[offs[i] : offs[i + 1]]))
         if group:
-            found.update(pairs(group))
-        yield batch_of(found)
+            yield batch_of(links(group))
 
     return run
 
@@ -207,8 +207,8 @@ def near_duplicates(
 
     Equal sets are one class from the start. Of the rest, each class is first compared with the smallest class it
     shares a key with. Where a key's classes then still lie in several components, those of different components
-    are compared by signature, BLOCK by BLOCK: of the pairs that survive, first a spanning forest of the likest is checked, and then
-    those that still lie across components. Pairs known to be connected are never made. This loses no link, and a group of near copies costs a number of pairs linear in its size.
+    are compared block by block, by signature and then by whole sets; a link found joins two components, and classes known
+    to be connected are not compared again. This loses no component, and makes rows for classes and links, never for pairs.
 
     Null or blank text: empty set, linked with nothing, its own component. Null doc_id: kept, component_id null, not
     linked. Rows that repeat a doc_id get one component; if their texts differ, the links of the text with the smallest set
@@ -245,22 +245,18 @@ def near_duplicates(
 
     tested = shared.filter("hub < rep").groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
     links = verified(tested, "first")
-    # what a key's classes are still divided into: pairs across components are compared by signature block by block, first
-    # a spanning forest of the likest, then all that may still be links
-    for tag, forest in (("forest", True), ("rest", False)):
-        label = components(links, scratch, f"{tag}-components")
-        labelled = scratch.cut(
-            shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")), f"{tag}-labelled"
-        )
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.count("*").alias("size")).filter("one <> other")
-        mixed = scratch.cut(mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), f"{tag}-mixed")
-        divided = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-        divided = divided.join(classes.select("rep", "sig"), "rep").withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-        divided = divided.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "rep", "label", "sig")
-        divided = divided.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-        pairs = divided.mapInArrow(_across(bounds, forest), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.cut(pairs, f"{tag}-pairs")
-        tested, links = tested.unionByName(pairs), links.unionByName(verified(pairs, tag))
+    # what a key's classes are still divided into: classes of different components are compared block by block, where
+    # signatures and sets are at hand, so that no rows are made for pairs
+    label = components(links, scratch, "first-components")
+    labelled = scratch.cut(shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("label", "rep").alias("label")), "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.count("*").alias("size"), F.sum("n_shingles").alias("total")).filter("one <> other")
+    mixed = scratch.cut(mixed.select("key", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "mixed")
+    divided = labelled.drop("n_shingles").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    divided = divided.join(classes.select("rep", "sig"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    divided = divided.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+    divided = divided.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "rep", "label", "sig", "shingles")
+    divided = divided.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    links = links.unionByName(scratch.cut(divided.mapInArrow(_across(bounds, percent), "a long, b long").distinct(), "across"))
 
     # rows of one class share its representative's component
     tied = components(links, scratch, "components").select(F.col("node").alias("rep"), "label")
