@@ -208,7 +208,7 @@ def near_duplicates(
     Equal sets are one class from the start. Of the rest, each class is first compared with the smallest class it
     shares a key with. Where a key's classes then still lie in several components, those of different components
     are compared block by block, by signature and then by whole sets; a link found joins two components, and classes known
-    to be connected are not compared again. This loses no component, and makes rows for classes and links, never for pairs.
+    to be connected are not compared again. This loses no component; rows are made for one pair a class, then only for classes and links.
 
     Null or blank text: empty set, linked with nothing, its own component. Null doc_id: kept, component_id null, not
     linked. Rows that repeat a doc_id get one component; if their texts differ, the links of the text with the smallest set
