@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join texts to items; Smith-Waterman scores the passage around them."""
+"""Benchmark decontamination: n-gram seeds join texts to items; Smith-Waterman scores the passage around them."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .scratch import Scratch
 
-SEED, RARE, SCORE = 4, 10, 0.5
+SEED, SCORE = 4, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Characters of items that go to the driver and the executors at once; more items are taken in blocks of this size.
 BLOCK_CHARS = 16_000_000
@@ -89,7 +89,18 @@ def smith_waterman(passage: np.ndarray, item: np.ndarray) -> int:
     return best
 
 
-def _score(items: Items, rare: np.ndarray, least: float):
+def reachable(passage: np.ndarray, item: np.ndarray, least: float) -> bool:
+    """False only if no alignment scores least: that takes least * len(item) matches, of as many of the item's words, within as
+    many of the passage's words as the gaps leave."""
+    need = least * len(item)
+    if np.isin(item, passage).sum() < need:
+        return False
+    span = len(item) + int(MATCH * len(item) * max(0.0, 1 - least) / -GAP)
+    total = np.concatenate([[0], np.cumsum(np.isin(passage, item))])
+    return bool((total[span:] - total[:-span]).max() >= need) if span < len(total) else True
+
+
+def _score(items: Items, least: float):
     ids, item_hashes, places = items.ids, items.hashes, items.places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,11 +110,8 @@ def _score(items: Items, rare: np.ndarray, least: float):
             for i, (grams, at) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 wanted: dict[int, list[int]] = {}
                 for gram, place in zip(grams, at):
-                    if rare[gram]:
-                        for item, inside in places[gram]:
-                            wanted.setdefault(item, []).append(place - inside)
-                if not wanted:
-                    continue
+                    for item, inside in places[gram]:
+                        wanted.setdefault(item, []).append(place - inside)
                 own = raw[offs[i] : offs[i + 1]]
                 _, _, hashes, _ = W.words(own, np.array([0, len(own)]), NO_WORD)
                 for item, begins in wanted.items():
@@ -115,7 +123,8 @@ def _score(items: Items, rare: np.ndarray, least: float):
                             windows[-1][1] = max(windows[-1][1], hi)
                         else:
                             windows.append([lo, hi])
-                    score = max(smith_waterman(hashes[lo:hi], target) for lo, hi in windows) / (MATCH * len(target))
+                    near = [hashes[lo:hi] for lo, hi in windows if reachable(hashes[lo:hi], target, least)]
+                    score = max((smith_waterman(x, target) for x in near), default=0) / (MATCH * len(target))
                     if score >= least:
                         for column, value in zip(out, (i, int(ids[item]), score, len(begins))):
                             column.append(value)
@@ -127,12 +136,11 @@ def _score(items: Items, rare: np.ndarray, least: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, rare: int = RARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs (doc_id, text, ...), benchmark (item_id, text, ...) -> doc_id, item_id, score, n_seeds: the pairs of at least the score least.
 
-    Words are lower-cased runs without ASCII punctuation. Seeds are the items' n-grams of SEED words, without those which more than rare times as
-    many texts hold as the median n-gram of their item, counted over all texts; so an item that is copied
-    often keeps its seeds. Around each seed a window of twice the item's length is aligned (match 2, mismatch and gap -1);
+    Words are lower-cased runs without ASCII punctuation. Seeds are all of the items' n-grams of SEED words, however many texts hold
+    them, so that no number of copies, edited or not, takes an item its seeds. Around each seed a window of twice the item's length is aligned (match 2, mismatch and gap -1), unless it has too few of the item's words for the score least;
     score is the best alignment over that of the item with itself: 1 for a copy, 0.7 with a fifth of the words replaced.
 
     The items are a query set: of more than block_chars characters they are taken in blocks, each against all texts. Null
@@ -149,19 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, ra
         if not len(block.grams):
             continue
         hits = scratch.cut(two.mapInArrow(_hits(block), "doc_id long, text string, grams array<int>, places array<int>"), f"hits-{part}")
-        held = hits.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").count().collect()  # as many as the block has n-grams
-        texts = np.zeros(len(block.grams), np.int64)
-        for r in held:
-            texts[r["gram"]] = r["count"]
-        own: list[list[int]] = [[] for _ in rows]
-        for gram, places in block.places.items():
-            for item, _ in places:
-                own[item].append(texts[gram])
-        usual = [float(np.median([n for n in x if n] or [1])) for x in own]
-        keep = np.zeros(len(block.grams), bool)
-        for gram, places in block.places.items():
-            keep[gram] = any(texts[gram] <= rare * usual[item] for item, _ in places)
-        pairs = hits.mapInArrow(_score(block, keep, least), "doc_id long, item_id long, score double, n_seeds long")
+        pairs = hits.mapInArrow(_score(block, least), "doc_id long, item_id long, score double, n_seeds long")
         found = pairs if found is None else found.unionByName(pairs)
     return found if found is not None else spark.createDataFrame([], "doc_id long, item_id long, score double, n_seeds long")
 

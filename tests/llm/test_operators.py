@@ -342,6 +342,26 @@ def test_decontamination(spark, block):
     assert decontam.contaminated(docs, bench.limit(0)).collect() == [] and decontam.contaminated(empty(spark), bench).collect() == []
 
 
+def test_many_edited_copies_beside_one_exact_copy(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(2000)]
+    write = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    item = write(40)
+    edited = [w if i % 5 else "new" for i, w in enumerate(item)]  # a fifth of the words
+    rows = [(i, " ".join(write(20) + edited + write(20))) for i in range(60)] + [(60, " ".join(write(20) + item + write(20))), (61, " ".join(write(80)))]
+    rows += [(62, " ".join(write(20) + item[1:5] + write(20)))]  # a seed, and no passage
+    got = {r.doc_id: r for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(got) == set(range(61)) and got[60].score == 1 and all(got[i].score >= 0.69 for i in range(60))
+
+
+def test_what_is_not_aligned_could_not_score():
+    rng = random.Random(6)
+    for _ in range(400):
+        item, passage = (np.array([rng.randint(0, 30) for _ in range(rng.randint(4, n))]) for n in (25, 90))
+        for least in (0.3, 0.5, 0.8):
+            assert decontam.reachable(passage, item, least) or decontam.smith_waterman(passage, item) < least * decontam.MATCH * len(item)
+
+
 # 8
 
 
