@@ -34,13 +34,19 @@ def syncmers(hashes: Column, k: int = K) -> Column:
     return F.when(n < k, whole).otherwise(F.filter(F.transform(hashes, chosen), lambda x: x.isNotNull()))
 
 
+def anchored(hashes: Column, k: int = K) -> Column:
+    """The closed syncmers or, where no k-mer is one, the whole text as one anchor; empty only without units."""
+    whole = F.array(F.xxhash64(hashes))
+    return F.get(F.transform(F.array(syncmers(hashes, k)), lambda x: F.when((F.size(x) == 0) & (F.size(hashes) > 0), whole).otherwise(x)), F.lit(0))
+
+
 def written(anchors: Column) -> Column:
     """The lower 32 bits of each anchor in hexadecimal, one after another."""
     return F.array_join(F.transform(anchors, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared over all distinct anchors; 1 if neither has any."""
+    """Shared over all distinct anchors; 1 if neither has any, that is, if neither text has a unit."""
     both = F.size(F.array_union(a, b))
     return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
@@ -75,9 +81,10 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many, or all, of the next document by ascending doc_id
     (after the last: the first; null doc_id before all; rows that repeat a doc_id by their text). A
-    fingerprint has 8 hexadecimal digits for each closed syncmer in the order of the text; likeness is that of the sets of syncmers. Null text
-    is empty; texts without words have an empty fingerprint, and two such texts are alike by 1. Empty table: no
-    rows. Other columns are ignored."""
+    fingerprint has 8 hexadecimal digits for each closed syncmer in the order of the text; likeness is that of the sets of syncmers. A text none of whose k-mers is
+    a syncmer has itself as its one anchor. Equal passages of few more than k units may have no anchor of their own, so texts
+    that share only these are alike by 0. Null text is empty; texts without words have an empty fingerprint, and two such texts are alike
+    by 1. Empty table: no rows. Other columns are ignored."""
     scratch = Scratch(docs.sparkSession)
     two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     order = Window.partitionBy("bucket").orderBy("late", "at", "text")
@@ -85,10 +92,10 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     hashed = lambda text: F.transform(units(text), lambda x: F.xxhash64(x))
     rows = with_next(two, scratch).withColumn("next", F.lead("text").over(order)).withColumn("hashes", hashed(F.col("text")))
-    rows = rows.withColumn("anchors", syncmers(F.col("hashes"), k)).drop("hashes").withColumn("next_anchors", F.lead("anchors").over(order)).filter("late = 0")
+    rows = rows.withColumn("anchors", anchored(F.col("hashes"), k)).drop("hashes").withColumn("next_anchors", F.lead("anchors").over(order)).filter("late = 0")
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next", "text"), F.lit(1), half)).alias("edited"), "anchors", F.coalesce("next_anchors", "anchors").alias("next_anchors"))
     rows = rows.withColumn("edited_hashes", hashed(F.col("edited")))
-    rows = rows.withColumn("edited_anchors", syncmers(F.col("edited_hashes"), k)).drop("edited_hashes")
+    rows = rows.withColumn("edited_anchors", anchored(F.col("edited_hashes"), k)).drop("edited_hashes")
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), written(F.col("anchors")).alias("fingerprint"), written(F.col("edited_anchors")).alias("edited_fingerprint"),
         likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),

@@ -399,6 +399,14 @@ def test_syncmers_are_closed_and_context_free(spark):
             assert len(r.got) == (len(r.h) > 0)
 
 
+def test_short_texts_have_a_fingerprint(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(8 + i % 6))) for i in range(60)] + [(60, " "), (61, "")]
+    got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(got[i].fingerprint) >= 8 and got[i].near_next == 0 for i in range(60))
+    assert got[60].fingerprint == got[61].fingerprint == "" and got[60].near_next == 1
+
+
 # 4
 
 
