@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 K, BUCKETS, FINE = 8, 4096, 64
-#: Texts of more characters a word than this have each character as a unit.
+#: Runs of more characters than this have each character as a unit.
 LONG_WORDS = 24
+#: Scripts without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, Balinese, Javanese, kana, ideographs.
+UNSPACED = r"\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u1950-\u19FF\u1A20-\u1AAF\u1B00-\u1B7F\u2E80-\u312F\u3190-\u9FFF\uA980-\uA9FF\uAA60-\uAADF\uF900-\uFAFF\uFF66-\uFF9F\x{1AFF0}-\x{1B16F}\x{20000}-\x{3FFFF}"
+_SPACE = r"\x20\x09-\x0D"
+_WORD = f"[^{_SPACE}{UNSPACED}]"
+UNIT = f"(?<!{_WORD}){_WORD}{{1,{LONG_WORDS}}}+(?!{_WORD})|[^{_SPACE}]"
 
 
 def units(text: Column) -> Column:
-    """Words ([^\\x20\\x09-\\x0D]+), or characters in a script without spaces."""
-    found = F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
-    return F.when(F.length(text) > LONG_WORDS * F.size(found), F.array_remove(F.split(text, ""), "")).otherwise(found)
+    """Words (runs without white space), but characters in scripts without spaces and in runs of more than LONG_WORDS. A unit depends on
+    its own run alone, whatever else the text holds."""
+    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
 
 
 def syncmers(hashes: Column, k: int = K) -> Column:

@@ -407,6 +407,18 @@ def test_short_texts_have_a_fingerprint(spark):
     assert got[60].fingerprint == got[61].fingerprint == "" and got[60].near_next == 1
 
 
+def test_units_do_not_depend_on_the_rest_of_the_text(spark):
+    rng = random.Random(9)
+    han = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(1000))
+    blob = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1000))
+    prose = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(200))
+    rows = [(1, han), (2, prose), (3, blob), (4, prose), (5, "".join(chr(rng.randint(0x0E01, 0x0E2E)) for _ in range(1000))), (6, prose)]
+    got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].near_edited > 0.2 for i in (1, 3, 5))
+    cut = spark.createDataFrame([("ab 日本c\u00a0d  \U00020000x" + "y" * 25 + " é" + "z" * 23 + "\n\u0000",)], "t string").select(syncmers.units(F.col("t")).alias("u")).first().u
+    assert cut == ["ab", "日", "本", "c\u00a0d", "\U00020000", "x", *"y" * 25, "é" + "z" * 23, "\u0000"]
+
+
 # 4
 
 
