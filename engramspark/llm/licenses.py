@@ -48,8 +48,10 @@ STEPS = [
     ("&", " and "),
     ("[^\\p{L}\\p{N}]+", " "),
 ]
-#: Each known text has one of these in lower case, so a text without them is none.
-HINT = "licen|permi"
+#: Each text of KNOWN has one of these in canonical form, and no step makes or joins them, so a text without them in lower case is none.
+HINT = r"licen|permi|(^|[^\p{L}\p{N}])cc([^\p{L}\p{N}]|$)"
+#: The filter of the SQL, which stays as it is: it has no line "Released under CC ...", which scan() finds.
+SQL_HINT = "licen|permi"
 
 
 def canonical(text: Column) -> Column:
@@ -78,11 +80,14 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
     if len(known) > MOST_KNOWN:
         raise ValueError(f"{len(known)} known texts; at most {MOST_KNOWN} are broadcast")
     texts = spark.createDataFrame(known, "license_id string, known string")
-    rows = texts.select(digest(F.col("known")).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id")).collect()
+    formed = texts.select(canonical(F.col("known")).alias("known"), "license_id").filter("known <> ''")
+    rows = formed.groupBy(F.sha2(F.col("known").cast("binary"), 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(F.col("known").rlike(HINT)).alias("hinted")).collect()
+    sure = all(r["hinted"] for r in rows)  # else texts without a hint can be known ones
     table = spark.createDataFrame([(r["digest"], r["license_id"]) for r in rows], "digest string, license_id string")
     lookup = F.map_from_arrays(F.array(*(F.lit(r["digest"]) for r in rows)), F.array(*(F.lit(r["license_id"]) for r in rows))) if rows else F.create_map().cast("map<string,string>")
-    hinted = F.lower(F.col("text")).rlike(HINT)
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.lower(x).rlike(HINT))
+    hint = lambda x: F.lower(x).rlike(HINT) if sure else F.lit(True)
+    hinted = hint(F.col("text"))
+    lines = F.filter(F.split(F.col("text"), "\n"), hint)
     found = F.filter(F.transform(lines, lambda x: lookup[digest(x)]), lambda x: x.isNotNull())
     two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     two = two.select("doc_id", F.when(hinted, digest(F.col("text"))).alias("digest"), F.when(hinted, found).otherwise(F.array().cast("array<string>")).alias("found"))
@@ -103,7 +108,7 @@ def oracle(known: list[tuple[str, str]] | None = None) -> str:
     return f"""
 WITH known AS (SELECT {canon('known')} AS digest, min(license_id) AS license_id FROM (VALUES {values}) AS t(license_id, known) GROUP BY 1),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-named AS (SELECT l.doc_id, k.license_id FROM (SELECT doc_id, {canon('line')} AS digest FROM lines WHERE regexp_matches(lower(line), '{HINT}')) l JOIN known k USING (digest)),
+named AS (SELECT l.doc_id, k.license_id FROM (SELECT doc_id, {canon('line')} AS digest FROM lines WHERE regexp_matches(lower(line), '{SQL_HINT}')) l JOIN known k USING (digest)),
 notices AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices, count(*) AS n_notices FROM named GROUP BY 1)
 SELECT d.doc_id, k.license_id, coalesce(n.notices, '') AS notices, coalesce(n.n_notices, 0) AS n_notices
 FROM documents d LEFT JOIN known k ON k.digest = {canon("coalesce(d.text, '')")} LEFT JOIN notices n ON n.doc_id = d.doc_id"""

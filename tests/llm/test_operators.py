@@ -430,6 +430,18 @@ def test_license_scan(spark):
     assert licenses.scan(empty(spark)).collect() == []
 
 
+def test_every_known_text_is_found(spark):
+    whole = [(k, text) for k, (_, text) in enumerate(licenses.KNOWN)]
+    lines = [(1000 + k, "Some words.\n" + text.upper() + "\nmore words") for k, text in whole if "\n" not in text]
+    rows = [*whole, *lines, (5000, "Released under\nCopyright 2020 Somebody\n(CC) BY 4.0"), (5001, "an account under CCC BY 4.0.")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].license_id for k, _ in whole] == [name for name, _ in licenses.KNOWN]
+    assert all((got[i].notices, got[i].n_notices) == (licenses.KNOWN[i - 1000][0], 1) for i, _ in lines)
+    assert got[5000].license_id == "CC-BY-4.0" and got[5001].license_id is None
+    own = licenses.scan(spark.createDataFrame([(1, "Take it!"), (2, "x\ntake it"), (3, "")], "doc_id long, text string"), [("Own", "Take it."), ("None", "")]).collect()
+    assert [(r.license_id, r.notices) for r in own] == [("Own", "Own"), (None, "Own"), (None, "")]
+
+
 # 1
 
 PLANTED = ["ann.lee@mail.example.com", "ANN.LEE@MAIL.EXAMPLE.COM", "bob.99@mail.example.com", "éva@site.example.org", "10.20.30.40", "+1 (487) 555-7209", "+1 487 555 7209", "(487) 555-7209", "4111111111111111", "4111-1111-1111-1111", "9807915762804490", "123-45-6789", "DE44500105175407324931", "Mr Smith", "Mrs Smith", "Mr. John Smith", "Frau Müller", "г-жа Иванова"]
