@@ -41,15 +41,25 @@ def search(view: GraphView, query: Sequence[float], limit: int, node_type: str |
 
 
 def candidates(view: GraphView, query: Sequence[float], k: int, node_type: str | None, vector_name: str | None, settings: config.VectorConfig) -> DataFrame:
-    """id, vector: of the index, if there is one for a large space of the query's length, else all."""
+    """id, vector: the k best by the index, if there is one for a large space of the query's length, else all.
+
+    The settings.probes nearest cells give k scores; then every cell that can hold one as good as the last of them is read too, so
+    that no true neighbour is lost. If those cells have fewer than k rows (a rare label), or the last score is 0, the search is exact."""
     index = view.vector_index
     if settings.backend == "exact" or index is None or index.name != (vector_name or config.DEFAULT_VECTOR) or index.dimension != len(query) or index.size <= settings.exact_threshold:
         return space(view, vector_name, node_type)
-    found = index.probe(query, settings.probes)
-    if node_type is not None:
-        found = found.join(view.nodes.where(F.col("node_type") == node_type).select("id"), "id", "left_semi")
-    best = scored(found, query).orderBy(F.desc("score"), "id").limit(min(k, index.size))
-    return found.join(F.broadcast(best.select("id")), "id")
+    labelled = None if node_type is None else view.nodes.where(F.col("node_type") == node_type).select("id")
+    read = lambda cells: index.read(cells) if labelled is None else index.read(cells).join(labelled, "id", "left_semi")
+    ordered = lambda rows: scored(rows, query).orderBy(F.desc("score"), "id").limit(k)
+    cells, bound = index.nearest(query)
+    found = read(cells[: settings.probes])
+    scores = [r["score"] for r in ordered(found).collect()]  # k at most
+    last = scores[-1] if len(scores) == k else 0.0
+    if last <= 0:
+        found = space(view, vector_name, node_type)
+    elif more := [c for c in cells[settings.probes :] if bound[c] >= last]:
+        found = read([*cells[: settings.probes], *more])
+    return found.join(F.broadcast(ordered(found).select("id")), "id")
 
 
 def search_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
@@ -115,12 +125,19 @@ class InvertedFile:
     dimension: int
     size: int
     centroids: np.ndarray
-    lists: DataFrame  # id, vector, cell
+    lists: DataFrame  # id, vector, cell, away
+    radius: np.ndarray  # the largest angle between a centroid and a vector of its cell
 
-    def probe(self, query: Sequence[float], probes: int) -> DataFrame:
+    def nearest(self, query: Sequence[float]) -> tuple[list[int], np.ndarray]:
+        """The cells by their centroid's cosine, and for each cell a score that none of its vectors exceeds."""
         q = np.array(query) / (np.linalg.norm(query) or 1)
-        cells = np.argsort(-(self.centroids @ q), kind="stable")[:probes]
-        return self.lists.where(F.col("cell").isin(*map(int, cells))).select("id", "vector")
+        near = self.centroids @ q
+        angle = np.arccos(np.clip(near, -1, 1))
+        bound = (1 + np.cos(np.maximum(0, angle - self.radius))) / 2 + 1e-6  # for rounding
+        return [int(c) for c in np.argsort(-near, kind="stable")], bound
+
+    def read(self, cells: Sequence[int]) -> DataFrame:
+        return self.lists.where(F.col("cell").isin(*cells)).select("id", "vector")
 
 
 def build_index(view: GraphView, path: str, vector_name: str | None = None, settings: config.VectorConfig = config.VectorConfig(), seed: int = 3) -> InvertedFile:
@@ -148,10 +165,16 @@ def build_index(view: GraphView, path: str, vector_name: str | None = None, sett
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = np.array(batch.column(1).to_pylist(), np.float64).reshape(-1, dimension)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.argmax(v @ centers.T, axis=1).astype(np.int32))], names=["id", "vector", "cell"])
-
-    own.mapInArrow(assign, "id string, vector array<float>, cell int").repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
-    return InvertedFile(vector_name or config.DEFAULT_VECTOR, dimension, size, centers, view.spark.read.parquet(path))
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            near = v @ centers.T
+            away = np.arccos(np.clip(near.max(axis=1), -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.argmax(near, axis=1).astype(np.int32)), pa.array(away)], names=["id", "vector", "cell", "away"])
+
+    own.mapInArrow(assign, "id string, vector array<float>, cell int, away double").repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+    lists, radius = view.spark.read.parquet(path), np.zeros(len(centers))
+    for r in lists.groupBy("cell").agg(F.max("away").alias("away")).collect():  # a row a cell
+        radius[r["cell"]] = r["away"]
+    return InvertedFile(vector_name or config.DEFAULT_VECTOR, dimension, size, centers, lists, radius)
 
 
 def quality(exact: DataFrame, approximate: DataFrame) -> DataFrame:

@@ -196,6 +196,16 @@ def test_approximate_search(spark, tmp_path):
     assert vectors.search(near, [1.0, 2.0], 3, settings=settings).first()["score"] == 0
 
 
+def test_approximate_search_loses_no_neighbour(spark, tmp_path):
+    rng = random.Random(4)
+    view = GraphView.of(spark, [node(f"n{i:03d}", "rare" if i % 50 == 0 else "usual", vectors={"default": [rng.gauss(0, 1) for _ in range(8)]}) for i in range(400)])
+    settings = config.VectorConfig(exact_threshold=10, lists=16, probes=1, semantic_top_k=10)
+    near = GraphView(view.nodes, view.edges, vector_index=vectors.build_index(view, f"{tmp_path}/ivf", settings=settings))
+    for q in ([rng.gauss(0, 1) for _ in range(8)] for _ in range(3)):
+        assert ids(vectors.search(near, q, 10, settings=settings)) == ids(vectors.search(view, q, 10, settings=settings))
+        assert ids(vectors.search(near, q, 6, "rare", settings=settings)) == ids(vectors.search(view, q, 6, "rare", settings=settings))
+
+
 def test_batched_search_equals_single(spark):
     rng = random.Random(2)
     rows = [(f"n{i}", [rng.gauss(0, 1) for _ in range(4)] if i % 9 else ([0.0] * 4 if i % 2 else [1.0])) for i in range(60)]
