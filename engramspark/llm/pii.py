@@ -102,12 +102,14 @@ def _number(canonical: Column, hexes: Column) -> Column:
     return F.concat(body, last.cast("string"))
 
 
-def _name(canonical: Column, hexes: Column) -> Column:
-    """Given and family names, or a family name alone; gender and script stay."""
+def _name(canonical: Column, hexes: Column, attempt: Column) -> Column:
+    """Given and family names, or a family name alone, with a syllable more for each further attempt, so that the names do not run out;
+    gender and script stay."""
     cyrillic, male = canonical.rlike(r"\p{IsCyrillic}"), canonical.startswith("m ")
     pick = lambda words, i: F.element_at(F.array(*map(F.lit, words)), _byte(hexes, i) % len(words) + 1)
     given = F.when(cyrillic & male, pick(GIVEN["mc"], 0)).when(cyrillic, pick(GIVEN["fc"], 0)).when(male, pick(GIVEN["m"], 0)).otherwise(pick(GIVEN["f"], 0))
-    family = F.when(cyrillic, F.concat(*(pick(SYLLABLES["c"], i) for i in (1, 2, 3, 4)))).otherwise(F.concat(*(pick(SYLLABLES["l"], i) for i in (1, 2, 3, 4))))
+    syllables = lambda words: F.array_join(F.transform(F.sequence(F.lit(1), attempt + 4), lambda i: pick(words, i)), "")
+    family = F.when(cyrillic, syllables(SYLLABLES["c"])).otherwise(syllables(SYLLABLES["l"]))
     return F.concat(F.substring(canonical, 1, 2), F.lower(F.when(F.size(F.split(canonical, " ")) > 2, F.concat(given, F.lit(" "), family)).otherwise(family)))
 
 
@@ -123,7 +125,7 @@ def _surrogate(kind: Column, canonical: Column, hexes: Column, domain: Column, a
         .when(kind == "social", _like(canonical, hexes))
         .when(kind == "iban", F.concat(F.substring(canonical, 1, 2), _like(F.substring(canonical, F.lit(3), F.lit(40)), hexes)))
         .when(kind == "number", _number(canonical, hexes))
-        .otherwise(_name(canonical, hexes))
+        .otherwise(_name(canonical, hexes, attempt))
     )
 
 

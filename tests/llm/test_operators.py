@@ -491,6 +491,16 @@ def test_surrogates_do_not_collide(spark):
     assert {r.doc_id: r.text for r in got} != {r.doc_id: r.text for r in other}
 
 
+def test_more_surnames_than_the_first_candidates(spark, monkeypatch):
+    """With two syllables a first candidate is one of 16."""
+    monkeypatch.setattr(pii, "SYLLABLES", {"l": ["ba", "de"], "c": ["ба", "де"]})
+    rows = [(i, f"{title} {name}") for i, (title, name) in enumerate((t, a + b + "n") for t, x in (("Mr", "AEIOU"), ("г-н", "АЕИОУ")) for a in x for b in ("bcdfg" if t == "Mr" else "бвгдж"))]
+    rows = [(i, t if t.startswith("Mr") else t[:-1] + "н") for i, t in rows]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(rows) == 50 and len({r.text for r in got}) == 50 and not {r.text for r in got} & {t for _, t in rows}
+    assert all(re.fullmatch(r"(Mr|г-н) [A-ZА-Я][a-zа-я]+", r.text) for r in got)
+
+
 # pipeline
 
 
