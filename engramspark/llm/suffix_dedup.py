@@ -3,7 +3,11 @@
 Every window of LEAST bytes is owned by one anchor, its leftmost smallest hash of K bytes. Windows in a row with one owner are
 a chunk. Equal windows have owners with equal hashes at equal places, so all occurrences of a window lie in chunks of one
 anchor hash: the shards of the suffix array are divided by it. Equal chunks are one from the start; only anchors with
-different chunks need the suffix array."""
+different chunks need the suffix array.
+
+An anchor with more than GROUP different chunks is divided by longer strings: its windows, by where the anchor stands in them,
+into stretches of 20, 5 and at last 1, each with the string that all windows of the stretch hold. Equal windows still meet,
+equal stretches are one again, and a stretch whose string is in no other chunk is done."""
 
 from __future__ import annotations
 
@@ -20,19 +24,34 @@ from . import words as W
 from .scratch import Scratch
 
 LEAST, K = 100, 24
-#: Chunks of one anchor that are sorted together; more are divided by salts, whose windows meet in a second round.
-GROUP = 256
-#: Bytes of text in which anchors are looked for at once; longer texts are one block.
+#: Different chunks in one group of the suffix array; larger groups are divided by longer strings, never cut short.
+GROUP = 512
+#: Places of the anchor that a divided group's windows share a string for; with 1, the string is the window.
+WIDTHS = (20, 5, 1)
+#: Bytes of text in which anchors are looked for at once; longer texts are taken in pieces that overlap by a window.
 BLOCK = 1 << 18
 #: Chunks in one suffix array, unless a group has more.
 SHARD = 2000
 
 
-def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, end, anchor) of all chunks; starts and ends in raw."""
+def stretches(raw: np.ndarray, offs: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, byte of its text that the piece begins at, bytes, offsets) of groups of whole texts, or of pieces of one longer text;
+    each window of LEAST bytes is in one of them. Which anchor owns a window depends on its own bytes alone."""
+    limit = limit or BLOCK
+    for lo, hi, part, own in W.blocks(raw, offs, limit):
+        if hi - lo > 1 or len(part) <= limit + LEAST:
+            yield lo, 0, part, own
+        else:
+            for begin in range(0, len(part) - LEAST + 1, limit):
+                piece = part[begin : begin + limit + LEAST - 1]
+                yield lo, begin, piece, np.array([0, len(piece)])
+
+
+def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end, anchor, its place) of all chunks; starts, ends and places in raw."""
     none = np.zeros(0, np.int64)
     if len(raw) < LEAST:
-        return none, none, none, none.view(W.U64)
+        return none, none, none, none.view(W.U64), none
     h = W.BYTE[raw]
     by_size = {1: h}
     for size in (1, 2, 4, 8):
@@ -50,31 +69,55 @@ def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     ends = np.repeat(offs[1:], np.diff(offs))[: len(low)]
     valid = np.flatnonzero(np.arange(len(low)) + LEAST <= ends)
     if not len(valid):
-        return none, none, none, none.view(W.U64)
+        return none, none, none, none.view(W.U64), none
     owner = (low[valid] & W.U64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     starts, lasts = valid[first], valid[np.append(first[1:], len(valid)) - 1]
-    return np.searchsorted(offs, starts, side="right") - 1, starts, lasts + LEAST, h[owner[first]]
+    return np.searchsorted(offs, starts, side="right") - 1, starts, lasts + LEAST, h[owner[first]], owner[first]
 
 
 def _anchors_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's distinct anchors and how many chunks have them."""
     for batch in batches:
         raw, offs = W.utf8(batch.column(1))
-        for _, _, part, own in W.blocks(raw, offs, BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array(anchors(part, own)[3].view(np.int64))], names=["anchor"])
+        for _, _, part, own in stretches(raw, offs):
+            found, n = np.unique(anchors(part, own)[3], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
+
+
+def merged(group: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of spans within each group, as (group, start, end); spans come by group and start."""
+    if not len(starts):
+        return group, starts, ends
+    wide = int(ends.max()) + 1
+    number = np.cumsum(np.concatenate([[False], group[1:] != group[:-1]]))
+    reach = np.maximum.accumulate(ends + number * wide) - number * wide
+    first = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (starts[1:] > reach[:-1])]))
+    return group[first], starts[first], reach[np.append(first[1:], len(starts)) - 1]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different chunk of a text (of a piece, where it is taken in pieces); later holds the union of its further
+    occurrences there, as start, end, start, end: a periodic text has few rows."""
     for batch in batches:
         raw, offs = W.utf8(batch.column(1))
-        for lo, _, part, own in W.blocks(raw, offs, BLOCK):
-            text, starts, ends, anchor = anchors(part, own)
-            if len(text):
-                chunk = W.span_hashes(part, starts, ends).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(chunk), batch.column(0).take(pa.array(lo + text)), pa.array((starts - own[text]).astype(np.int32)), pa.array((ends - own[text]).astype(np.int32))],
-                    names=["anchor", "chunk", "doc_id", "start", "end"],
-                )
+        for lo, begin, part, own in stretches(raw, offs):
+            text, starts, ends, anchor, _ = anchors(part, own)
+            if not len(text):
+                continue
+            chunk = W.span_hashes(part, starts, ends)
+            _, at, which = np.unique(W.mix(chunk + text.astype(W.U64) * W.GRAM[50]), return_index=True, return_inverse=True)
+            starts, ends = starts - own[text] + begin, ends - own[text] + begin
+            repeats = np.flatnonzero(np.arange(len(text)) != at[which])
+            repeats = repeats[np.argsort(which[repeats], kind="stable")]
+            group, later_from, later_to = merged(which[repeats], starts[repeats], ends[repeats])
+            sizes = 2 * np.bincount(group, minlength=len(at))
+            pairs = np.stack([later_from, later_to], axis=1).ravel().astype(np.int32)
+            later = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(pairs))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor[at].view(np.int64)), pa.array(chunk[at].view(np.int64)), batch.column(0).take(pa.array(lo + text[at])), pa.array(starts[at].astype(np.int32)), pa.array(ends[at].astype(np.int32)), later],
+                names=["anchor", "chunk", "doc_id", "start", "end", "later"],
+            )
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,18 +133,54 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the chunks that a text was asked for."""
     expand = zstandard.ZstdDecompressor()
     for batch in batches:
-        rows: list[list] = [[], [], [], [], [], []]
+        rows: list[list] = [[], [], [], [], []]
         for doc, packed, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
             text = expand.decompress(packed)
             for w in wanted:
-                for column, value in zip(rows, (w["anchor"], w["salt"], w["salts"], doc, w["start"], text[w["start"] : w["end"]])):
+                for column, value in zip(rows, (w["anchor"], w["hot"], doc, w["start"], text[w["start"] : w["end"]])):
                     column.append(value)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int32()), pa.array(rows[5], pa.binary())],
-            names=["anchor", "salt", "salts", "doc_id", "start", "bytes"],
+            [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.bool_()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int32()), pa.array(rows[4], pa.binary())],
+            names=["anchor", "hot", "doc_id", "start", "bytes"],
         )
 
 
+def divided(raw: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk, start, end, key) of the stretches of all chunks: windows that hold the anchor at places of one block of width
+    places. key is a hash of that block's number and of the string that all such windows hold."""
+    chunk, _, ends, _, place = anchors(raw, offs)
+    begins = offs[chunk]
+    low, high = np.maximum(0, place - (ends - LEAST)) // width, (place - begins) // width
+    n = high - low + 1
+    row = np.repeat(np.arange(len(chunk)), n)
+    block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[row]
+    at = place[row] - block * width
+    starts = np.maximum(begins[row], at - width + 1)
+    stops = np.minimum(ends[row] - LEAST, at) + LEAST
+    key = W.mix(W.span_hashes(raw, at, at + LEAST + 1 - width) + (block + 1).astype(W.U64) * W.GRAM[51])
+    return chunk[row], starts, stops, key
+
+
+def _divide(width: int):
+    """Rows (doc_id, start, bytes) -> one for each stretch: anchor (the key), chunk (a hash of its bytes), doc_id, start, bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = W.utf8(batch.column(2))
+            chunk, starts, ends, key = divided(raw, offs, width)
+            sizes = ends - starts
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            data = raw[np.arange(at[-1]) + np.repeat(starts - at[:-1], sizes)]
+            own = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+            first = batch.column(1).to_numpy(zero_copy_only=False)[chunk] + starts - offs[chunk]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(W.span_hashes(raw, starts, ends).view(np.int64)), batch.column(0).take(pa.array(chunk)), pa.array(first.astype(np.int32)), own],
+                names=["anchor", "chunk", "doc_id", "start", "bytes"],
+            )
+
+    return run
+
+
 def suffix_array(chunks: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Enhanced suffix array of the suffixes of at least least bytes of all chunks: (chunk, place in it, left, lcp), in
     the order of the suffixes. left is the byte before a suffix, negative and different for each chunk's first; lcp is the common prefix with the suffix before."""
@@ -152,45 +231,38 @@ def maximal_repeats(left: np.ndarray, lcp: np.ndarray, least: int = LEAST) -> It
                 stack.append((now, first))
 
 
+def covered(docs: np.ndarray, starts: np.ndarray, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk, start, end) of what each chunk's own repeat groups remove from it: all occurrences but the first (least text, least start) of each
+    group. Of the groups that a suffix is in the longest counts; what overlaps in a chunk is one span."""
+    chunk, place, left, lcp = suffix_array(chunks)
+    doc, start = docs[chunk], starts[chunk] + place
+    rank = np.empty(len(chunk), np.int64)
+    rank[np.lexsort((start, doc))] = np.arange(len(chunk))
+    reach = np.zeros(len(chunk), np.int64)
+    for lo, hi, length in maximal_repeats(left, lcp):
+        own = reach[lo:hi]
+        first = int(rank[lo:hi].argmin())
+        before = own[first]
+        np.maximum(own, length, out=own)
+        own[first] = before
+    some = np.flatnonzero(reach)
+    some = some[np.lexsort((place[some], chunk[some]))]
+    return merged(chunk[some], place[some], place[some] + reach[some])
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor and salt -> spans to remove (key null), and for anchors with several salts the first occurrence of each window (key)."""
+    """Rows (anchor, doc_id, start, bytes), sorted by anchor -> spans to remove."""
     held: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
-        chunks = [x[5] for x in held]
-        docs, starts = np.array([x[3] for x in held], np.int64), np.array([x[4] for x in held], np.int64)
-        chunk, place, left, lcp = suffix_array(chunks)
-        doc, start = docs[chunk], starts[chunk] + place
-        out: list[list[np.ndarray]] = [[], [], [], []]
-
-        def emit(rows: np.ndarray, length: int | np.ndarray, keys: np.ndarray | None) -> None:
-            out[0].append(doc[rows])
-            out[1].append(start[rows])
-            out[2].append(start[rows] + length)
-            out[3].append(keys if keys is not None else np.zeros(len(rows), np.int64))
-
-        for lo, hi, length in maximal_repeats(left, lcp):
-            rows = np.arange(lo, hi)
-            first = np.lexsort((start[rows], doc[rows]))[0] if hi - lo > 2 else int((doc[lo], start[lo]) > (doc[lo + 1], start[lo + 1]))
-            emit(np.delete(rows, first) if hi - lo > 2 else rows[1 - first : 2 - first], length, None)
-        spans = sum(map(len, out[0]))
-        if any(x[2] > 1 for x in held):
-            salted = np.array([x[2] > 1 for x in held])[chunk]
-            window = np.cumsum(lcp < LEAST)
-            order = np.lexsort((start, doc, window))
-            order = order[salted[order]]
-            order = order[np.concatenate([[True], window[order][1:] != window[order][:-1]])] if len(order) else order
-            sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-            at = (np.cumsum(sizes) - sizes)[chunk[order]] + place[order]
-            emit(order, LEAST, W.span_hashes(np.frombuffer(b"".join(chunks), np.uint8), at, at + LEAST).view(np.int64))
+        docs, starts = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64)
+        chunk, lo, hi = covered(docs, starts, [x[3] for x in held])
         held.clear()
-        cells = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-        keyed = np.arange(len(cells[0])) < spans
-        return pa.RecordBatch.from_arrays([pa.array(cells[0]), pa.array(cells[1].astype(np.int32)), pa.array(cells[2].astype(np.int32)), pa.array(cells[3].astype(np.int64), mask=keyed)], names=["doc_id", "start", "end", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(docs[chunk]), pa.array((starts[chunk] + lo).astype(np.int32)), pa.array((starts[chunk] + hi).astype(np.int32))], names=["doc_id", "start", "end"])
 
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            if len(held) >= SHARD and row[:2] != held[-1][:2]:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if len(held) >= SHARD and row[0] != held[-1][0]:
                 yield flush()
             held.append(row)
     if held:
@@ -221,25 +293,43 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs (doc_id, text), ids distinct and not null -> doc_id, start, end: byte spans that cover exactly the bytes in a
     window of LEAST bytes which also starts earlier (smaller doc_id, or same text and earlier start). Spans may overlap."""
-    seen = docs.mapInArrow(_anchors_only, "anchor long").groupBy("anchor").count().filter("count > 1").select("anchor")
+    seen = docs.mapInArrow(_anchors_only, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     seen = scratch.cut(seen, "repeated-anchors")
-    chunks = docs.mapInArrow(_chunks, "anchor long, chunk long, doc_id long, start int, end int")
+    chunks = docs.mapInArrow(_chunks, "anchor long, chunk long, doc_id long, start int, end int, later array<int>")
     chunks = scratch.cut(chunks.join(seen, "anchor"), "chunks")
+    scratch.drop("repeated-anchors")
     first = chunks.groupBy("anchor", "chunk").agg(F.min(F.struct("doc_id", "start", "end")).alias("first"), F.count("*").alias("copies"))
     first = scratch.cut(first, "first")
-    again = chunks.join(first.filter("copies > 1"), ["anchor", "chunk"]).filter("doc_id <> first.doc_id or start <> first.start").select("doc_id", "start", "end")
-    several = scratch.cut(first.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").withColumn("salts", F.ceil(F.col("n") / GROUP).cast("int")), "several")
-    wanted = first.join(several, "anchor").select("anchor", F.pmod(F.xxhash64("chunk"), "salts").cast("int").alias("salt"), "salts", "first.doc_id", "first.start", "first.end")
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "salt", "salts", "start", "end")).alias("wanted"))  # no more than a text has bytes
+    spans = [chunks.join(first.filter("copies > 1"), ["anchor", "chunk"]).filter("doc_id <> first.doc_id or start <> first.start").select("doc_id", "start", "end")]
+    pairs = F.explode(F.expr("sequence(0, size(later) - 2, 2)")).alias("i")
+    spans.append(chunks.filter("size(later) > 0").select("doc_id", "later", pairs).selectExpr("doc_id", "later[i] start", "later[i + 1] end"))
+    several = scratch.cut(first.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").selectExpr("anchor", f"n > {GROUP} hot"), "several")
+    wanted = first.join(several, "anchor").select("anchor", "hot", "first.doc_id", "first.start", "first.end")
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "hot", "start", "end")).alias("wanted"))  # no more than a text has bytes
     wanted = scratch.cut(wanted, "wanted")
     texts = docs.mapInArrow(_compress, "doc_id long, packed binary").join(wanted, "doc_id").select("doc_id", "packed", "wanted")
-    texts = texts.mapInArrow(_fetch, "anchor long, salt int, salts int, doc_id long, start int, bytes binary")
-    found = texts.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_scan, "doc_id long, start int, end int, key long")
-    found = scratch.cut(found, "found")
-    windows = found.filter("key is not null")
-    earliest = scratch.cut(windows.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "earliest")
-    late = windows.join(earliest, "key").filter("doc_id <> first.doc_id or start <> first.start").select("doc_id", "start", "end")
-    return again.unionByName(found.filter("key is null").select("doc_id", "start", "end")).unionByName(late)
+    fetched = scratch.cut(texts.mapInArrow(_fetch, "anchor long, hot boolean, doc_id long, start int, bytes binary"), "fetched")
+    scratch.drop("wanted")
+
+    small, hot = fetched.filter("not hot"), fetched.filter("hot")
+    for width in WIDTHS if not hot.isEmpty() else ():
+        parts = hot.select("doc_id", "start", "bytes").mapInArrow(_divide(width), "anchor long, chunk long, doc_id long, start int, bytes binary")
+        parts = scratch.cut(parts, f"parts-{width}")
+        first = parts.groupBy("anchor", "chunk").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("copies"))
+        first = scratch.cut(first, f"first-{width}")
+        later = parts.join(first.filter("copies > 1"), ["anchor", "chunk"]).filter("doc_id <> first.doc_id or start <> first.start")
+        spans.append(later.selectExpr("doc_id", "start", "cast(start + length(bytes) as int) end"))
+        several = first.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").selectExpr("anchor", f"n > {GROUP} hot")
+        several = first.join(several, "anchor").selectExpr("anchor", "chunk", "hot", "first.doc_id", "first.start")
+        still = scratch.cut(parts.join(several, ["anchor", "chunk", "doc_id", "start"], "inner").select("anchor", "hot", "doc_id", "start", "bytes"), f"still-{width}")
+        small, hot = small.unionByName(still.filter("not hot")), still.filter("hot")
+        if hot.isEmpty():  # with a width of 1 a string is a window, so there is one chunk a string
+            break
+    found = small.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "doc_id", "start", "bytes")
+    found = scratch.cut(found.mapInArrow(_scan, "doc_id long, start int, end int"), "found")
+    for more in spans:
+        found = found.unionByName(more)
+    return found
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
