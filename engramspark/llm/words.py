@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,24 @@ INVERSE = pow(BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def frugal(run: Callable) -> Callable:
+    """A function over Arrow batches that gives the memory it worked in back to the system at its end; workers live on between tasks, and what
+    they keep counts against their executor."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not glibc
+                pass
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
