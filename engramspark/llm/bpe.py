@@ -1,11 +1,13 @@
 """Byte-level BPE over whole texts: cut into pieces with numpy, each distinct piece encoded once per worker.
 
-The ids are those of the tokenizers library for the vocabulary file (tests compare them); a piece is what its
-pre-tokenizer (contractions, letters, digits, other, white space, each with one space before) makes."""
+The ids are those of the tokenizers library for the vocabulary file (tests compare them): added tokens such as <|endoftext|> are cut out
+first, wherever they stand; a piece is what the pre-tokenizer (contractions, letters, digits, other, white space, each with one
+space before) makes of what is between them."""
 
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -18,7 +20,6 @@ from . import words as W
 OTHER, LETTER, DIGIT, SPACE = 0, 1, 2, 3
 #: Distinct pieces that a worker remembers in a table of 2 ** TABLE_BITS places; beyond that it starts anew.
 REMEMBERED, TABLE_BITS = 1_500_000, 22
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def default_vocabulary() -> str:
@@ -48,8 +49,18 @@ def _ranks(path: str) -> dict[bytes, int]:
     written = {c: c for c in plain} | {256 + i: c for i, c in enumerate(c for c in range(256) if c not in set(plain))}
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    special = {x["content"] for x in model.get("added_tokens", [])}
-    return {bytes(written[ord(c)] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+    added = {x["content"] for x in model.get("added_tokens", [])}
+    return {bytes(written[ord(c)] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
+
+
+@lru_cache(None)
+def _added(path: str) -> dict[bytes, int]:
+    """The added tokens, which are found in a text before it is cut into pieces."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens", [])
+    if any(x.get(flag) for x in tokens for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what is beside them are not supported")
+    return {x["content"].encode(): x["id"] for x in tokens}
 
 
 @lru_cache(None)
@@ -113,11 +124,13 @@ class Encoder:
     def __init__(self, path: str):
         import tiktoken
 
-        ranks = _ranks(path)
-        self._bpe = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._ranks = ranks
-        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
+        ranks, self._added = _ranks(path), _added(path)
+        # what it gets is one piece already, so its expression takes all
+        self._bpe = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self._whole = ranks | self._added
+        self._find_added = re.compile(b"|".join(map(re.escape, sorted(self._added, key=len, reverse=True)))) if self._added else None
+        self.sizes = np.zeros(max(self._whole.values()) + 1, np.int64)
+        for token, i in self._whole.items():
             self.sizes[i] = len(token)
         self._forget()
 
@@ -162,12 +175,31 @@ class Encoder:
         self._n, self._used = self._n + len(keys), self._used + len(fresh)
 
     def _one(self, piece: bytes) -> list[int]:
-        found = self._ranks.get(piece)
-        return [found] if found is not None else self._bpe._encode_single_piece(piece)
+        found = self._whole.get(piece)
+        return [found] if found is not None else self._bpe.encode_ordinary(piece.decode())
+
+    def _pieces(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """pieces(), with each added token that lies in one text as a piece, and what is before and after it as texts of their own."""
+        found = []
+        if self._find_added:
+            # a match across two texts must not hide one that begins inside it, so each search goes on behind the border
+            data, at = raw.tobytes(), 0
+            while m := self._find_added.search(data, at):
+                border = int(offs[np.searchsorted(offs, m.start(), side="right")])
+                if m.end() <= border:
+                    found.append(m.span())
+                at = m.end() if m.end() <= border else m.start() + 1
+        if not found:
+            return pieces(raw, offs)
+        spans = np.array(found, np.int64)
+        starts, _ = pieces(raw, np.unique(np.concatenate([offs, spans.ravel()])))
+        inside = np.searchsorted(spans[:, 0], starts, side="left") - 1
+        starts = starts[(inside < 0) | (starts >= spans[np.maximum(inside, 0), 1])]
+        return starts, np.searchsorted(starts, offs)
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and each text's n + 1 offsets into them."""
-        starts, piece_offs = pieces(raw, offs)
+        starts, piece_offs = self._pieces(raw, offs)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         ends = np.append(starts[1:], len(raw))
@@ -194,7 +226,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_column(column: pa.Array, path: str, limit: int = 2 << 20):
+def encode_column(column: pa.Array, path: str, limit: int = 1 << 19):
     """(first row, row after the last, bytes, offsets, ids, id offsets) of blocks of whole texts."""
     raw, offs = W.utf8(column)
     known = encoder(path)

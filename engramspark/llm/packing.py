@@ -5,20 +5,22 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from . import words as W
 from .scratch import Scratch
 
-SIZE, SALTS, END = 2048, 64, 0
+SIZE, END = 2048, 0
 
 
 def _cut(path: str, size: int, with_ids: bool):
+    @W.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, _, _, ids, offs in bpe.encode_column(batch.column(1), path):
@@ -29,11 +31,11 @@ def _cut(path: str, size: int, with_ids: bool):
                     start, number = 0, 0
                     while start < len(own):
                         part = own[start : first if not start else start + size]
-                        for column, value in zip(rows, (lo + i, number, start, len(part), zlib.crc32(part.tobytes()), part if with_ids else None)):
+                        for column, value in zip(rows, (lo + i, number, start, len(part), zlib.crc32(part.tobytes()), part.view(np.int32) if with_ids else None)):
                             column.append(value)
                         start, number = start + len(part), number + 1
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:5])] + ([pa.array(rows[5], pa.list_(pa.int64()))] if with_ids else []),
+                    [batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:5])] + ([pa.array(rows[5], pa.list_(pa.int32()))] if with_ids else []),
                     names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids,
                 )
 
@@ -87,28 +89,32 @@ def plan(counts: dict[int, int], size: int) -> tuple[list[tuple[int, int, int, i
     return runs, bins
 
 
-def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, salts: int = SALTS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids): a row a piece.
 
     A text is its token ids and then id 0; null text is empty and has the one id 0. Texts of more than size ids are cut into
-    pieces of size ids, the first of which may be shorter. The driver gets one number for each length and salt (size * salts
-    at most, whatever the corpus) and plans best-fit decreasing on lengths; a piece's slot comes from its rank among its length, which is
-    its rank within its salt and the counts of the salts before, so that a length that many documents have
-    is spread over salts tasks. Repeated rows each get their own slot; null doc_id is carried. Empty table: no rows. Other columns are ignored."""
+    pieces of size ids, the first of which may be shorter. The driver gets one number for each length (size at most, whatever the
+    corpus) and plans best-fit decreasing on lengths, in runs whose number depends on the lengths and not on how many documents have them (a few
+    thousand for any counts tried, up to 1e8 a length). A piece's slot comes from its rank among its length, which is its rank
+    within its salt and the counts of the salts before. A length that n pieces have is divided by about sqrt(n) salts, so that neither the largest task nor the table of salts
+    grows with n itself. Repeated rows each get their own slot; null doc_id is carried. Empty table: no rows. Other columns are ignored."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     path = path or bpe.default_vocabulary()
-    columns = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+    columns = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_cut(path, size, with_ids), columns)
-    pieces = scratch.cut(cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")), "pieces")
-
-    counts = pieces.groupBy("length", "salt").count().toPandas().sort_values(["length", "salt"])
-    counts["before"] = counts.groupby("length")["count"].cumsum() - counts["count"]
-    runs, _ = plan({int(k): int(v) for k, v in counts.groupby("length")["count"].sum().items()}, size)
-    before = spark.createDataFrame(counts[["length", "salt", "before"]].astype({"before": "int64"}), "length long, salt int, before long")
-    slots = spark.createDataFrame(pd.DataFrame(runs, columns=["length", "rank_from", "n", "sequence_from", "offset"], dtype="int64"), "length long, rank_from long, n long, sequence_from long, offset long")
+    pieces = scratch.cut(cut, "pieces")
+
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    runs, _ = plan(counts, size)
+    # both tables are bounded by size, not by the corpus
+    spread = spark.createDataFrame([(length, isqrt(n - 1) + 1) for length, n in counts.items()], "length long, salts long")
+    slots = spark.createDataFrame(runs, "length long, rank_from long, n long, sequence_from long, offset long")
+    salted = pieces.join(F.broadcast(spread), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "salts")).drop("salts")
+    before = salted.groupBy("length", "salt").agg(F.count("*").alias("own"))
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = scratch.cut(before.select("length", "salt", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before")), "before")
 
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = pieces.withColumn("own", F.row_number().over(order) - 1).join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
-    # both small tables are bounded by size and salts, not by the corpus
+    ranked = salted.withColumn("own", F.row_number().over(order) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
     placed = ranked.join(F.broadcast(slots), (ranked["length"] == slots["length"]) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_from") + F.col("n")))
     return placed.select("doc_id", "piece", "start", ranked["length"], "ids_crc32", (F.col("sequence_from") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset", *["ids"] * with_ids)
