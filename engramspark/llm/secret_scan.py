@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,8 +26,11 @@ HEX = re.compile(rb"[0-9a-f]+")
 HEX_RUN = re.compile(rb"h{3,}")
 GITHUB = re.compile(rb"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 NPM = re.compile(rb"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+JWT_PART = re.compile(rb"[A-Za-z0-9_-]+")
+JWT_REST = re.compile(rb"\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++")
 KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign", "akia": "access"} | {f"gh{x}_": "github" for x in "pousr"} | {"npm_": "npm", "eyj": "jwt"}
+#: Characters of a signed token's first part at most; longer ones are no header.
+HEADER = 4096
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 HEX_DIGITS = bytes(ord("h") if c in b"0123456789abcdef" else 0x20 for c in range(256))
 STRIDE = 8
@@ -55,18 +60,33 @@ def checksum_holds(body: bytes, check: bytes) -> bool:
     return base62(zlib.crc32(body)) == check.decode()
 
 
-def _header(match: re.Match) -> bool:
-    import base64
-    import json
-
+def is_header(part: bytes) -> bool:
+    """Whether this is JSON, in base 64, that names an algorithm."""
     try:
-        part = match[0].split(b".")[0]
         return "alg" in json.loads(base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4)))
-    except ValueError:
+    except (ValueError, TypeError, RecursionError):  # no base 64, no UTF-8, no JSON, no container, or too deep
         return False
 
 
-ANCHORED = {"assign": (ASSIGN, lambda m: len(m[2]) >= 6), "access": (ACCESS, lambda m: len(m[0]) >= 20), "github": (GITHUB, lambda m: checksum_holds(m[1], m[2])), "npm": (NPM, lambda m: checksum_holds(m[1], m[2])), "jwt": (JWT, _header)}
+ANCHORED = {"assign": (ASSIGN, lambda m: len(m[2]) >= 6), "access": (ACCESS, lambda m: len(m[0]) >= 20), "github": (GITHUB, lambda m: checksum_holds(m[1], m[2])), "npm": (NPM, lambda m: checksum_holds(m[1], m[2]))}
+
+
+def signed_tokens(raw: bytes, hits: list[int]) -> list[tuple[int, int]]:
+    """Signed web tokens whose first part begins at one of hits, ascending. What follows a run of token characters is looked at once a run,
+    so the work is linear, whatever the number of hits in one run."""
+    out, run_end, rest, done = [], 0, None, 0
+    for start in hits:
+        if start < done:
+            continue
+        if start >= run_end:
+            run_end = JWT_PART.match(raw, start).end()
+            rest = JWT_REST.match(raw, run_end)
+        if rest is None:
+            done = run_end
+        elif run_end - start <= HEADER and raw[start : start + 3] == b"eyJ" and is_header(raw[start:run_end]):
+            out.append((start, rest.end()))
+            done = rest.end()
+    return out
 
 
 def hex_spans(raw: bytes) -> list[tuple[int, int]]:
@@ -91,8 +111,9 @@ def find(raw: bytes) -> list[tuple[int, int, str]]:
     spans = [(start, end, "hex") for start, end in hex_spans(raw)]
     done: dict[str, int] = {}
     hits = sorted((end + 1 - size, kind) for end, (kind, size) in _automaton().iter(raw.lower().decode("latin-1")))
+    spans += [(start, end, "jwt") for start, end in signed_tokens(raw, [at for at, kind in hits if kind == "jwt"])]
     for start, kind in hits:
-        if start < done.get(kind, 0):
+        if kind == "jwt" or start < done.get(kind, 0):
             continue
         pattern, holds = ANCHORED[kind]
         if m := pattern.match(raw, start):
@@ -102,6 +123,7 @@ def find(raw: bytes) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
+@W.frugal
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nothing = hashlib.sha256(b"").hexdigest()
     for batch in batches:
