@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import ship
 
-K, BUCKETS, FINE = 8, 4096, 64
+#: Units of an anchor, and of the substrings inside it whose least one must lie at an edge.
+K, S = 5, 2
+#: Characters of text that one window task orders, about, and windows at most (what the driver gets is a bound for each).
+BUCKET_CHARS, MOST_BUCKETS = 64_000_000, 1 << 16
 #: Runs of more characters than this have each character as a unit.
 LONG_WORDS = 24
 #: Scripts without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, Balinese, Javanese, kana, ideographs.
@@ -25,24 +29,24 @@ def units(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
 
 
-def syncmers(hashes: Column, k: int = K) -> Column:
-    """Hashes of the k-mers of units whose smallest unit hash is that of the first or the last unit, in the order of the text. Whether a
-    k-mer is chosen depends on it alone, so that equal passages choose equal k-mers wherever they stand. A text of fewer than k
-    units has one: itself."""
+def selected(hashes: Column, k: int = K, s: int = S) -> Column:
+    """(at, anchor) of the closed syncmers in the order of the text: the k-mers of units of whose k - s + 1 inner s-mers the one with the least hash
+    is the first or the last; at is the unit that they begin with. Whether a k-mer is chosen depends on it alone, so that equal passages choose equal k-mers wherever they stand. A text of
+    fewer than k units, and one of which no k-mer is chosen, has itself; none without units."""
     n = F.size(hashes)
+    inner = F.transform(hashes, lambda x, i: F.when(i <= n - s, F.xxhash64(F.slice(hashes, i + 1, s)))) if s > 1 else hashes
 
-    def chosen(first: Column, i: Column) -> Column:
-        own = F.slice(hashes, i + 1, k)
-        return F.when((i <= n - k) & ((low := F.array_min(own)) == first) | (i <= n - k) & (low == F.get(hashes, i + k - 1)), F.xxhash64(own))
+    def of(inner: Column) -> Column:
+        def chosen(x: Column, i: Column) -> Column:
+            low = F.array_min(F.slice(inner, i + 1, k - s + 1))
+            edge = (low == F.get(inner, i)) | (low == F.get(inner, i + k - s))
+            return F.when((i <= n - k) & edge, F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i + 1, k)).alias("anchor")))
 
-    whole = F.when(n > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(n < k, whole).otherwise(F.filter(F.transform(hashes, chosen), lambda x: x.isNotNull()))
+        return F.filter(F.transform(hashes, chosen), lambda x: x.isNotNull())
 
-
-def anchored(hashes: Column, k: int = K) -> Column:
-    """The closed syncmers or, where no k-mer is one, the whole text as one anchor; empty only without units."""
-    whole = F.array(F.xxhash64(hashes))
-    return F.get(F.transform(F.array(syncmers(hashes, k)), lambda x: F.when((F.size(x) == 0) & (F.size(hashes) > 0), whole).otherwise(x)), F.lit(0))
+    whole = F.filter(F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(hashes).alias("anchor"))), lambda x: n > 0)
+    found = F.when(n < k, whole).otherwise(F.get(F.transform(F.array(inner), of), F.lit(0)))
+    return F.get(F.transform(F.array(found), lambda x: F.when(F.size(x) == 0, whole).otherwise(x)), F.lit(0))
 
 
 def written(anchors: Column) -> Column:
@@ -56,21 +60,32 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def with_next(docs: DataFrame, scratch: Scratch, buckets: int = BUCKETS) -> DataFrame:
+def in_place(a: Column, b: Column) -> Column:
+    """How many of the distinct (at, anchor) of two texts are the same: anchors that stand at one place in both."""
+    keyed = lambda x: F.transform(x, lambda y: F.xxhash64(y["at"], y["anchor"]))
+    return F.size(F.array_intersect(keyed(a), keyed(b))).cast("long")
+
+
+def with_next(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """docs (doc_id, text) -> bucket, at, late, doc_id, text, so that within a bucket, by (late, at, text), the row after a
     text is the next document; late rows are copies of the next bucket's first, there to be read only.
 
-    Buckets are ranges of ids between quantiles (of the ids; the driver gets the bounds, at most buckets of them), so that
-    one exchange of the texts by bucket does for a global order."""
-    placed = docs.withColumn("at", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
-    some = placed.agg(F.percentile_approx("at", [i / buckets for i in range(1, buckets)], 20000).alias("bounds")).first()["bounds"]
+    Buckets are ranges of ids between quantiles (of the ids; the driver gets the bounds, one for bucket_chars of text and at most MOST_BUCKETS), so that
+    one exchange of the texts by bucket does for a global order. Rows without an id stand before all, by a hash of their text, so that they
+    are spread over buckets too."""
+    # beyond any id that is in use: the lowest 2**40 of the 2**64 are the places of rows without one
+    placed = docs.withColumn("at", F.coalesce("doc_id", F.lit(-(2**63)).cast("long") + F.pmod(F.xxhash64("text"), F.lit(2**40))))
+    total = placed.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(64, -(-total // bucket_chars)))
+    fine_size = isqrt(buckets)
+    some = placed.agg(F.percentile_approx("at", [i / buckets for i in range(1, buckets)], max(20000, 4 * buckets)).alias("bounds")).first()["bounds"]
     bounds = sorted(set(some or []))
-    coarse, fine = bounds[FINE - 1 :: FINE], [bounds[i : i + FINE - 1] for i in range(0, len(bounds), FINE)] or [[]]
+    coarse, fine = bounds[fine_size - 1 :: fine_size], [bounds[i : i + fine_size - 1] for i in range(0, len(bounds), fine_size)] or [[]]
     lists = F.from_json(F.lit(json.dumps(fine)), "array<array<bigint>>")
     group = F.size(F.filter(F.from_json(F.lit(json.dumps(coarse)), "array<bigint>"), lambda x: x <= F.col("at")))
     placed = placed.withColumn("group", group)
     inside = F.size(F.filter(F.coalesce(F.get(lists, F.col("group")), F.array().cast("array<bigint>")), lambda x: x <= F.col("at")))
-    placed = placed.withColumn("bucket", (F.col("group") * FINE + inside).cast("int")).drop("group")
+    placed = placed.withColumn("bucket", (F.col("group") * fine_size + inside).cast("int")).drop("group")
     lowest = sorted(tuple(r) for r in placed.groupBy("bucket").agg(F.min("at")).collect())  # a row a bucket
     if not lowest:
         return placed.withColumn("late", F.lit(0))
@@ -80,28 +95,30 @@ def with_next(docs: DataFrame, scratch: Scratch, buckets: int = BUCKETS) -> Data
     return placed.withColumn("late", F.lit(0)).unionByName(firsts.withColumn("late", F.lit(1)))
 
 
-def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: a
+def fingerprints(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_in_place: a
     row for each row of docs.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many, or all, of the next document by ascending doc_id
-    (after the last: the first; null doc_id before all; rows that repeat a doc_id by their text). A
-    fingerprint has 8 hexadecimal digits for each closed syncmer in the order of the text; likeness is that of the sets of syncmers. A text none of whose k-mers is
+    (after the last: the first; null doc_id before all, by a hash of the text; rows that repeat a doc_id by their text). A
+    fingerprint has 8 hexadecimal digits for each closed syncmer in the order of the text; likeness is that of the sets of syncmers. n_in_place counts the
+    anchors that a text and its edited text have at the same unit. A text none of whose k-mers is
     a syncmer has itself as its one anchor. Equal passages of few more than k units may have no anchor of their own, so texts
     that share only these are alike by 0. Null text is empty; texts without words have an empty fingerprint, and two such texts are alike
     by 1. Empty table: no rows. Other columns are ignored."""
-    scratch = Scratch(docs.sparkSession)
+    ship(docs.sparkSession)
     two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     order = Window.partitionBy("bucket").orderBy("late", "at", "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     hashed = lambda text: F.transform(units(text), lambda x: F.xxhash64(x))
-    rows = with_next(two, scratch).withColumn("next", F.lead("text").over(order)).withColumn("hashes", hashed(F.col("text")))
-    rows = rows.withColumn("anchors", anchored(F.col("hashes"), k)).drop("hashes").withColumn("next_anchors", F.lead("anchors").over(order)).filter("late = 0")
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next", "text"), F.lit(1), half)).alias("edited"), "anchors", F.coalesce("next_anchors", "anchors").alias("next_anchors"))
+    rows = with_next(two).withColumn("next", F.lead("text").over(order)).withColumn("hashes", hashed(F.col("text")))
+    rows = rows.withColumn("anchors", selected(F.col("hashes"), k, s)).drop("hashes").withColumn("next_anchors", F.lead(F.col("anchors")["anchor"]).over(order)).filter("late = 0")
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next", "text"), F.lit(1), half)).alias("edited"), "anchors", F.coalesce("next_anchors", F.col("anchors")["anchor"]).alias("next_anchors"))
     rows = rows.withColumn("edited_hashes", hashed(F.col("edited")))
-    rows = rows.withColumn("edited_anchors", anchored(F.col("edited_hashes"), k)).drop("edited_hashes")
+    rows = rows.withColumn("edited_anchors", selected(F.col("edited_hashes"), k, s)).drop("edited_hashes")
+    own, edited = F.col("anchors")["anchor"], F.col("edited_anchors")["anchor"]
     return rows.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), written(F.col("anchors")).alias("fingerprint"), written(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), written(own).alias("fingerprint"), written(edited).alias("edited_fingerprint"),
+        likeness(own, edited).alias("near_edited"), likeness(own, F.col("next_anchors")).alias("near_next"), in_place(F.col("anchors"), F.col("edited_anchors")).alias("n_in_place"),
     )
