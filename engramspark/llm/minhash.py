@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import lgamma
+from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -16,7 +16,8 @@ from .components import components
 from .scratch import Scratch
 
 BANDS, ROWS, CHECKED, BATCH = 40, 5, 200, 40
-#: Classes of one key that are compared at a time, and the shingles they have together; more are dealt out as pairs of blocks.
+#: Classes of one key that are compared at a time, and the shingles they have together; more are divided by size, so that only sets of
+#: sizes that can be similar meet, and within a size dealt out as pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
 
 
@@ -48,6 +49,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sign(bands: int, rows: int, n: int):
+    @W.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = W.utf8(batch.column(1))
@@ -75,10 +77,11 @@ def _sign(bands: int, rows: int, n: int):
 
 
 def _sets(n: int):
+    @W.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = W.utf8(batch.column(1))
-            for lo, hi, part, own in W.blocks(raw, offs, 4 << 20):
+            for lo, hi, part, own in W.blocks(raw, offs):
                 _, _, hashes, word_offs = W.words(part, own)
                 grams, _, gram_offs = W.shingles(hashes, word_offs, n)
                 sets, set_offs = W.distinct(grams, gram_offs)
@@ -107,6 +110,7 @@ def least_matches(threshold: float, miss: float, batch: int = BATCH, total: int
 
 
 def _prune(bounds: tuple[int, ...]):
+    @W.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = len(batch)
@@ -173,6 +177,7 @@ def _across(bounds: tuple[int, ...], percent: int):
                 labels[labels == label] = kept
         return out
 
+    @W.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
 
@@ -194,6 +199,41 @@ def _across(bounds: tuple[int, ...], percent: int):
     return run
 
 
+def _size_class(n: Column, percent: int) -> Column:
+    """Sets whose sizes differ by no more than the similarity allows are in one class or in neighbouring ones; a little wider for rounding."""
+    return F.floor(F.log(n.cast("double")) / max(0.01, 1.001 * log(100 / percent))).cast("long")
+
+
+def _blocks() -> Column:
+    return F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("long").alias("blocks")
+
+
+def _dealt(labelled: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """labelled (key, rep, n_shingles, label) -> key, low, high, block, rep, label: the classes of each key that several labels share, for each
+    pair of blocks they are to be compared in. A key that fits into one block is one; of the others each class meets the blocks
+    of its own size class and of the two beside it."""
+    summed = (F.count("*").alias("size"), F.sum("n_shingles").alias("total"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other"), *summed).filter("one <> other")
+    mixed = scratch.cut(mixed.select("key", _blocks()), "mixed")
+    zero = F.lit(0).cast("long")
+    small = labelled.join(mixed.filter("blocks = 1").select("key"), "key")
+    small = small.select("key", zero.alias("low"), zero.alias("high"), zero.alias("block"), "rep", "label")
+    large = mixed.filter("blocks > 1").select("key")
+    if large.isEmpty():
+        return small
+    sized = labelled.join(large, "key").withColumn("class", _size_class(F.col("n_shingles"), percent))
+    classes = scratch.cut(sized.groupBy("key", "class").agg(*summed).select("key", "class", _blocks()), "size-classes")
+    own = scratch.cut(sized.join(classes, ["key", "class"]).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")), "sized")
+    number = lambda of, block: of * (1 << 32) + block
+    out = small
+    for step in (-1, 0, 1):
+        other = classes.select("key", (F.col("class") - step).alias("class"), F.col("blocks").alias("others"))
+        met = own.join(other, ["key", "class"]).withColumn("with", F.explode(F.sequence(zero, F.col("others") - 1)))
+        block, far = number(F.col("class"), F.col("own")), number(F.col("class") + step, F.col("with"))
+        out = out.unionByName(met.select("key", F.least(block, far).alias("low"), F.greatest(block, far).alias("high"), block.alias("block"), "rep", "label"))
+    return out
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 75, n: int = 5, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-6
 ) -> DataFrame:
@@ -211,9 +251,9 @@ def near_duplicates(
     to be connected are not compared again. This loses no component; rows are made for one pair a class, then only for classes and links.
 
     Null or blank text: empty set, linked with nothing, its own component. Null doc_id: kept, component_id null, not
-    linked. Rows that repeat a doc_id get one component; if their texts differ, the links of the text with the smallest set
-    key count. Empty table: no rows. Other columns are ignored."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    linked. Rows that repeat a doc_id are judged each by its own text, so that with different texts they can be in different
+    components. Empty table: no rows. Other columns are ignored."""
+    scratch = Scratch(docs.sparkSession)
     two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     signed = scratch.cut(
         two.mapInArrow(_sign(bands, rows, n), "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"), "signed"
@@ -221,7 +261,12 @@ def near_duplicates(
     linkable = signed.filter("doc_id is not null and n_shingles > 0")
     several = linkable.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("own"), F.max(F.struct("k1", "k2")).alias("other")).filter("own <> other")
     several = scratch.cut(several.select("doc_id", "own"), "several")
-    linkable = linkable.join(several, (linkable["doc_id"] == several["doc_id"]) & (F.struct("k1", "k2") != F.col("own")), "left_anti")
+    renamed = None
+    if not several.isEmpty():
+        # of an id's different texts all but one go by another number, until components are named
+        texts = linkable.join(several, "doc_id").filter(F.struct("k1", "k2") != F.col("own")).select("doc_id", "k1", "k2").distinct()
+        renamed = scratch.cut(texts.withColumn("number", F.xxhash64("doc_id", "k1", "k2")), "renamed")
+        linkable = scratch.cut(_by_number(linkable, renamed).drop("id"), "linkable")
     classes = scratch.cut(
         linkable.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes"
     )
@@ -230,16 +275,20 @@ def near_duplicates(
     shared = scratch.cut(keys.join(groups, "key"), "shared")
     scratch.drop("keys")
 
-    involved = shared.select(F.col("rep").alias("doc_id")).distinct().join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), "doc_id")
+    involved = shared.select("rep").distinct().join(classes.select("rep", "k1", "k2"), "rep").withColumn("doc_id", F.col("rep"))
+    if renamed is not None:
+        real = renamed.select(F.col("number").alias("rep"), F.col("doc_id").alias("real"))
+        involved = involved.join(real, "rep", "left").withColumn("doc_id", F.coalesce("real", "doc_id")).drop("real")
     sigs = classes.select(F.col("rep").alias("id"), "n_shingles", "sig")
-    sets = scratch.cut(two.join(involved, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, k1 long, k2 long, shingles array<long>").join(involved, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "shingles"), "sets")
+    sets = two.join(involved, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, k1 long, k2 long, shingles array<long>")
+    sets = scratch.cut(sets.join(involved, ["doc_id", "k1", "k2"]).dropDuplicates(["rep"]).select("rep", "shingles"), "sets")
     bounds = least_matches(percent / 100, miss)
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         left, right = (sigs.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
         alive = pairs.join(left, "a").join(right, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         alive = scratch.cut(alive.select("a", "b", "sa", "sb").mapInArrow(_prune(bounds), "a long, b long"), f"{tag}-alive")
-        left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"t{x}")) for x in "ab")
+        left, right = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"t{x}")) for x in "ab")
         both = alive.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
         return scratch.cut(both.filter(f"100 * shared >= {percent} * (size(ta) + size(tb) - shared)").select("a", "b"), f"{tag}-links")
 
@@ -249,12 +298,9 @@ def near_duplicates(
     # signatures and sets are at hand, so that no rows are made for pairs
     label = components(links, scratch, "first-components")
     labelled = scratch.cut(shared.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("label", "rep").alias("label")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.count("*").alias("size"), F.sum("n_shingles").alias("total")).filter("one <> other")
-    mixed = scratch.cut(mixed.select("key", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "mixed")
-    divided = labelled.drop("n_shingles").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    divided = divided.join(classes.select("rep", "sig"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    divided = divided.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-    divided = divided.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "rep", "label", "sig", "shingles")
+    scratch.drop("shared")
+    divided = _dealt(labelled, scratch, percent).join(classes.select("rep", "sig"), "rep").join(sets, "rep")
+    divided = divided.select("key", "low", "high", "block", "rep", "label", "sig", "shingles")
     divided = divided.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     links = links.unionByName(scratch.cut(divided.mapInArrow(_across(bounds, percent), "a long, b long").distinct(), "across"))
 
@@ -262,10 +308,21 @@ def near_duplicates(
     tied = components(links, scratch, "components").select(F.col("node").alias("rep"), "label")
     same = scratch.cut(linkable.select("doc_id", "k1", "k2", "n_shingles").join(classes.select("k1", "k2", "n_shingles", "rep"), ["k1", "k2", "n_shingles"]).select("doc_id", "rep").distinct(), "same")
     member = scratch.cut(same.join(tied, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("found")), "member")
-    out = signed.select("doc_id", "n_shingles").join(member, "doc_id", "left").withColumn("component_id", F.coalesce("found", "doc_id"))
+    if renamed is None:
+        out = signed.select("doc_id", "n_shingles").join(member, "doc_id", "left").withColumn("component_id", F.coalesce("found", "doc_id"))
+    else:
+        out = _by_number(signed, renamed).select("id", "doc_id", "n_shingles").join(member, "doc_id", "left")
+        out = scratch.cut(out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("found", "doc_id").alias("component")), "by-number")
+        out = out.join(out.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component", "left")
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _by_number(rows: DataFrame, renamed: DataFrame) -> DataFrame:
+    """rows under the numbers that renamed has for some of their texts; id keeps the doc_id."""
+    numbered = rows.withColumn("id", F.col("doc_id")).join(renamed, ["doc_id", "k1", "k2"], "left")
+    return numbered.withColumn("doc_id", F.coalesce("number", "doc_id")).drop("number")
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns; of rows that repeat a doc_id, one; rows without a doc_id all."""
     keep = near_duplicates(docs, **options).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
