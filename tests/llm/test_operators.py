@@ -1,10 +1,14 @@
 """The ten operators against plain Python on small tables with nulls, ties, repeated rows and odd texts."""
 
+import base64
 import hashlib
 import random
 import re
+import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -88,10 +92,26 @@ def test_near_duplicates_of_a_chain_in_mixed_keys(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_near_duplicates_of_large_mixed_keys(spark, monkeypatch):
+    """Texts with a long passage in common and parts of their own, so that keys hold many classes of several sizes and few links."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(6)
+    shared = [f"s{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        own = [f"o{i}_{j}" for j in range(rng.choice([5, 14, 30, 60]))]
+        rows.append((i, " ".join(shared + own)))
+        if i % 5 == 0:
+            rows.append((1000 + i, " ".join(shared + own[:-2] + ["x", "y", "z"])))
+    want = linked(word_sets(rows))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_near_duplicates_odd_ids(spark):
-    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f"), (7, "x y"), (7, "p q r")]
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f"), (7, "x y"), (7, "p q r"), (8, "p q r"), (9, "X Y"), (9, "p q r")]
     got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == Counter({(None, None, True): 2, (4, 2, False): 2, (2, 2, True): 1, (7, 7, True): 2})
+    assert got == Counter({(None, None, True): 2, (4, 2, False): 2, (2, 2, True): 1, (7, 7, True): 2, (8, 7, False): 1, (9, 7, False): 2})
     assert minhash.near_duplicates(empty(spark)).collect() == []
 
 
@@ -121,7 +141,7 @@ def removed(rows, least=100):
     return out
 
 
-@pytest.mark.parametrize("group", [256, 2])
+@pytest.mark.parametrize("group", [512, 1])
 def test_suffix_dedup(spark, group, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     docs, rows = table(spark, 2)
@@ -129,6 +149,45 @@ def test_suffix_dedup(spark, group, monkeypatch):
     assert got == removed(rows)
 
 
+def test_suffix_dedup_of_an_anchor_with_many_chunks(spark):
+    """Lines of 30, 90 and 160 bytes, each in 1,200 different places; with 160 bytes, and in some pairs by their neighbours, they repeat."""
+    rng = random.Random(14)
+    write = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    lines = [write(30), write(90), write(160)]
+    rows = [(i, write(150) + lines[i % 3] + write(150)) for i in range(3600)]
+    rows += [(5000 + i, write(60) + rows[i][1][100:400 - 20 * (i % 7)] + write(60)) for i in range(200)]
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == removed(rows)
+
+
+def test_suffix_dedup_of_long_and_periodic_texts(spark):
+    rng = random.Random(15)
+    some = "".join(rng.choices("abcdefgh", k=5000))
+    rows = [(1, "a" * 1_000_000), (2, "xyz" * 300_000 + some), (3, some[:3000] + "b" * 500 + "a" * 2000), (4, "zxy" * 100), (5, some * 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == removed(rows)
+    chunks = docs.mapInArrow(suffix_dedup._chunks, "anchor long, chunk long, doc_id long, start int, end int, later array<int>")
+    assert chunks.count() < 5000
+
+
+def test_divided_groups_keep_equal_windows_together():
+    rng = random.Random(16)
+    raw = np.frombuffer(("".join(rng.choices("abc", k=400)) * 3).encode(), np.uint8)
+    text, starts, ends, _, place = suffix_dedup.anchors(raw, np.array([0, len(raw)]))
+    assert (place >= starts).all() and (place + suffix_dedup.K <= ends).all()
+    offs = np.concatenate([[0], np.cumsum(ends - starts)])
+    own = np.concatenate([raw[a:b] for a, b in zip(starts, ends)])
+    for width in (20, 5, 1):
+        chunk, lo, hi, key = suffix_dedup.divided(own, offs, width)
+        windows, keys = [], defaultdict(set)
+        for c, a, b, k in zip(chunk.tolist(), lo.tolist(), hi.tolist(), key.tolist()):
+            windows += range(starts[c] + a - offs[c], starts[c] + b - offs[c] - 99)
+            for i in range(a, b - 99):
+                keys[own[i : i + 100].tobytes()].add(k)
+        assert sorted(windows) == list(range(len(raw) - 99)) and all(len(x) == 1 for x in keys.values())
+
+
 def test_suffix_dedup_odd_ids(spark):
     text = "".join(random.Random(8).choices("abcdefgh", k=300))
     rows = [(None, text), (5, text), (5, text), (6, text), (7, None), (8, "zz"), (8, "y" * 99)]
@@ -184,6 +243,19 @@ def test_secret_checksums():
     assert secret_scan.find(b"see " + good[:-1] + (b"0" if good[-1:] != b"0" else b"1")) == []
 
 
+def test_signed_tokens():
+    part = lambda x: base64.urlsafe_b64encode(x).rstrip(b"=")
+    good = part(b'{"alg":"HS256"}') + b"." + part(b'{"a":1}') + b".sig"
+    assert secret_scan.find(b"x " + good + b" y") == [(2, 2 + len(good), "jwt")]
+    assert secret_scan.find(b"eyJzzeyJ" + good) == [(8, 8 + len(good), "jwt")]
+    deep = part(b'{"a":' + b"[" * 1500 + b"]" * 1500 + b"}")
+    assert secret_scan.find(deep + b".eyJx.y") == [] and secret_scan.find(part(b'{"b":1}') + b".eyJx.y") == []
+    assert secret_scan.find(b"eyJ" * 5000 + b"." + good) == [(15001, 15001 + len(good), "jwt")]
+    start = time.perf_counter()
+    assert secret_scan.find(b"eyJ" * 300_000) == [] and secret_scan.find(b"eyJ.eyJ" * 100_000) == []
+    assert time.perf_counter() - start < 20
+
+
 # 5, 7
 
 
@@ -191,15 +263,16 @@ def test_secret_checksums():
 def tokenizer():
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(bpe.default_vocabulary())
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(bpe.default_vocabulary())
 
 
 def test_ids_are_those_of_the_library(tokenizer):
     rng = random.Random(6)
     letters = "a b's 't're 'LL'll  \n\t é中1 2²½'d''s x'm<|endoftext|>　​\U0001f600ñ.,!\x85"
-    some = ["", "'", "don't  stop", "''s", " 's", "\n\n a  b \n", " "] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(4000)] + [t for t in texts() if t]
+    end = "<|endoftext|>"
+    some = [end, f"{end}a", f"a{end}", f"a{end}b", f"a {end} b", f"  {end}{end}\n", end[:-1], end[1:], f"<|{end}|>", "x<|endoftext", "|>", "<|endof", "text|>", f"it's{end}'s 中{end}"]
+    some += ["", "'", "don't  stop", "''s", " 's", "\n\n a  b \n", " "] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(4000)] + [t for t in texts() if t]
+    some += ["".join(rng.choice(["<|", "endoftext", "|>", end, " ", "a"]) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
     own = [ids[offs[i] : offs[i + 1]].tolist() for lo, hi, _, _, ids, offs in bpe.encode_column(pa.array(some), bpe.default_vocabulary(), 1000) for i in range(hi - lo)]
     assert own == [e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False)]
 
@@ -207,7 +280,7 @@ def test_ids_are_those_of_the_library(tokenizer):
 def test_packing(spark, tokenizer):
     docs, rows = table(spark, 5)
     size = 64
-    got = packing.pack(docs, size=size, salts=3).collect()
+    got = packing.pack(docs, size=size).collect()
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in got:
@@ -224,6 +297,20 @@ def test_packing(spark, tokenizer):
         assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= size
     assert len(by_sequence) <= 1.05 * -(-sum(map(len, ids.values())) // size)
     assert packing.pack(empty(spark)).collect() == []
+    with_ids = packing.pack(docs, size=size, with_ids=True).collect()
+    assert Counter(tuple(r) for r in got) == Counter(tuple(r)[:-1] for r in with_ids)
+    assert all(r.ids == ids[r.doc_id][r.start : r.start + r.length] for r in with_ids)
+
+
+def test_packing_of_a_length_that_many_have(spark):
+    rows = [(i % 50 if i % 7 else None, "a b c" if i % 3 else None) for i in range(9000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), size=12).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert sorted((r.sequence_id, r.offset) for r in got) == sorted({(r.sequence_id, r.offset) for r in got})
+    load = Counter()
+    for r in got:
+        load[r.sequence_id] += r.length
+    assert max(load.values()) <= 12 and len(load) == 9000 * 2 // 3 * 4 // 12 + 9000 // 3 // 12
 
 
 def test_plan_fills_every_rank_once():
@@ -272,6 +359,33 @@ def test_section_tokens(spark, tokenizer, rule):
     assert token_counts.section_tokens(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("rule", ["first", "last", "most"])
+def test_field_tokens(spark, tokenizer, rule):
+    rng = random.Random(11)
+    some = [None, "", "a", "\n", "it's 42 ", " é日本", prose(rng, 30)]
+    rows = [(i if i % 9 else None, rng.choice(some), rng.choice(some), rng.choice(some)) for i in range(120)]
+    got = defaultdict(list)
+    for r in token_counts.field_tokens(spark.createDataFrame(rows, "doc_id long, title string, lang string, text string"), ["title", "text", "lang"], rule=rule).collect():
+        got[r.doc_id].append(tuple(r)[1:])
+    sizes, want = bpe.encoder(bpe.default_vocabulary()).sizes, defaultdict(list)
+    for i, title, lang, text in rows:
+        parts = [(title or "") + "\n", (text or "") + "\n", lang or ""]
+        ends = np.cumsum([len(x.encode()) for x in parts])
+        spans = list(zip(ends - [len(x.encode()) for x in parts], ends))
+        counts, crossed, byte = Counter(), Counter(), 0
+        for t in tokenizer.encode("".join(parts), add_special_tokens=False).ids:
+            end = byte + int(sizes[t])
+            over = [(min(end, e) - max(byte, s), -k) for k, (s, e) in enumerate(spans) if s < end and e > byte]
+            k = -max(over)[1] if rule == "most" else -over[0 if rule == "first" else -1][1]
+            counts[k] += 1
+            crossed[k] += len(over) > 1
+            byte = end
+        chars = np.cumsum([0, *map(len, parts)])
+        want[i] += [(f, int(chars[k]), int(chars[k + 1]), counts[k], crossed[k]) for k, f in enumerate(("title", "text", "lang"))]
+    assert {i: Counter(x) for i, x in got.items()} == {i: Counter(x) for i, x in want.items()}
+    assert token_counts.field_tokens(empty(spark), ["text"]).collect() == []
+
+
 # 2
 
 
@@ -299,6 +413,17 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_samples_do_not_depend_on_copies_or_order(spark):
+    rows = [(lang, f"{lang} text {i}") for lang, n in (("a", 400), ("b", 30), ("c", 5)) for i in range(n)]
+    copies = rows + [("a", "a text 7")] * 3000 + [("b", None), (None, "x"), ("c", "")]
+    random.Random(1).shuffle(copies)
+    once = langid.sample(spark.createDataFrame(rows, "lang string, text string"), 50, 300)
+    again = langid.sample(spark.createDataFrame(copies, "lang string, text string").repartition(5), 50, 300)
+    got = [sorted(map(tuple, x[1].collect())) for x in (once, again)]
+    assert once[0] == again[0] == ["a", "b", "c"] and got[0] == got[1]
+    assert Counter(lang for lang, _ in got[0]) == {"a": 50, "b": 30, "c": 5}
+
+
 # 6
 
 
@@ -317,7 +442,7 @@ def test_smith_waterman():
         assert decontam.smith_waterman(a, b) == plain(a, b)
 
 
-@pytest.mark.parametrize("block", [10**9, 700])
+@pytest.mark.parametrize("block", [10**9, 100])
 def test_decontamination(spark, block):
     rng = random.Random(12)
     vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(800)]
@@ -331,10 +456,11 @@ def test_decontamination(spark, block):
             rows.append((100 + 10 * k + j, " ".join(write(60) + inside + write(3000 if j == 1 else 30))))
             want[100 + 10 * k + j] = k
         rows.append((1000 + k, " ".join(write(50) + item[:6] + write(50))))
-    rows += [(5000, None), (5001, ""), (None, " ".join(items[0])), (100, rows[40][1])]
+    rows += [(5000, None), (5001, ""), (None, " ".join(items[0])), (100, rows[40][1]), (5002, "Two, WORDS!"), (5003, "two words more")]
+    want[5002] = 91
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 score", "'x' item_id")
     bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(90, None), (91, "two words"), (None, "a b c d e f")], "item_id long, text string")
-    got = decontam.contaminated(docs, bench, block_chars=block).collect()
+    got = decontam.contaminated(docs, bench, block_words=block).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {*want.items(), (None, 0)} and all(0.5 <= r.score <= 1 for r in got)
     kept = decontam.without_contaminated(docs, bench)
     assert kept.columns == docs.columns
@@ -342,6 +468,17 @@ def test_decontamination(spark, block):
     assert decontam.contaminated(docs, bench.limit(0)).collect() == [] and decontam.contaminated(empty(spark), bench).collect() == []
 
 
+def test_decontamination_in_other_scripts(spark):
+    rng = random.Random(13)
+    han = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(40))
+    greek = [" ".join("".join(rng.choices("αβγδεζηθλμνξ", k=5)) for _ in range(n)) for n in (30, 60)]
+    other = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(300))
+    rows = [(1, other[:100] + han[:15] + "，" + han[15:] + other[100:]), (2, other), (3, f"{greek[1]} «{greek[0].upper()}» {greek[1]}"), (4, greek[1]), (5, "an item É of words, no more"), (6, "an item of words, no more")]
+    bench = spark.createDataFrame([(1, han), (2, greek[0]), (3, "An item é — of WORDS no more")], "item_id long, text string")
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got if r.doc_id != 6} == {(1, 1): 1.0, (3, 2): 1.0, (5, 3): 1.0}
+
+
 def test_many_edited_copies_beside_one_exact_copy(spark):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(2000)]
@@ -388,22 +525,35 @@ def test_fingerprints(spark):
     assert len(one) == 4
 
 
-def test_syncmers_are_closed_and_context_free(spark):
+def test_fingerprints_by_brute_force(spark):
+    """Hashes are Spark's; which k-mers are chosen, the fingerprints and both kinds of likeness are worked out in Python."""
+    k, s = syncmers.K, syncmers.S
     rng = random.Random(3)
-    hashes = [[rng.randint(-50, 50) for _ in range(n)] for n in (0, 3, 8, 9, 200)]
-    rows = spark.createDataFrame([(x,) for x in hashes], "h array<bigint>").select("h", syncmers.syncmers(F.col("h")).alias("got"), F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - 8, F.lit(0))), lambda i: F.xxhash64(F.slice("h", i + 1, 8))).alias("all")).collect()
-    for r in rows:
-        if len(r.h) >= 8:
-            assert r.got == [r["all"][i] for i in range(len(r.h) - 7) if min(r.h[i : i + 8]) in (r.h[i], r.h[i + 7])]
-        else:
-            assert len(r.got) == (len(r.h) > 0)
+    rows = [(i, " ".join(rng.choice("a bb ccc dd e ff".split()) for _ in range(rng.randint(0, 60)))) for i in range(80)] + [(1000 + i, t or "") for i, t in enumerate(texts(17))]
+    got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    rows.sort()
+    pairs = [(i, t, t[: len(t) - len(t) // 2] + rows[(j + 1) % len(rows)][1][: len(t) // 2]) for j, (i, t) in enumerate(rows)]
+    mers = lambda h, m: F.transform(F.sequence(F.lit(0), F.size(h) - m), lambda i: F.xxhash64(F.slice(h, i + 1, m)))
+    frame = spark.createDataFrame([(i, j, t) for i, *both in pairs for j, t in enumerate(both)], "doc_id long, which int, text string")
+    frame = frame.withColumn("h", F.transform(syncmers.units(F.col("text")), lambda x: F.xxhash64(x)))
+    frame = frame.select("doc_id", "which", F.size("h").alias("n"), F.xxhash64("h").alias("whole"), F.when(F.size("h") >= k, mers(F.col("h"), k)).alias("k"), F.when(F.size("h") >= k, mers(F.col("h"), s)).alias("s"))
+    chosen = {}
+    for r in frame.collect():
+        own = [(i, x) for i, x in enumerate(r.k or []) if min(r.s[i : i + k - s + 1]) in (r.s[i], r.s[i + k - s])]
+        chosen[r.doc_id, r.which] = own or [(0, r.whole)] * (r.n > 0)
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for j, (i, _, _) in enumerate(pairs):
+        own, edited, following = chosen[i, 0], chosen[i, 1], chosen[pairs[(j + 1) % len(pairs)][0], 0]
+        sets = [{x for _, x in y} for y in (own, edited, following)]
+        assert got[i].fingerprint == "".join(f"{x & 0xFFFFFFFF:08x}" for _, x in own) and got[i].edited_fingerprint == "".join(f"{x & 0xFFFFFFFF:08x}" for _, x in edited)
+        assert (got[i].near_edited, got[i].near_next, got[i].n_in_place) == (like(*sets[:2]), like(sets[0], sets[2]), len(set(own) & set(edited)))
 
 
 def test_short_texts_have_a_fingerprint(spark):
     rng = random.Random(8)
     rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(8 + i % 6))) for i in range(60)] + [(60, " "), (61, "")]
     got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(len(got[i].fingerprint) >= 8 and got[i].near_next == 0 for i in range(60))
+    assert all(len(got[i].fingerprint) >= 8 and got[i].near_next == 0 for i in range(59))
     assert got[60].fingerprint == got[61].fingerprint == "" and got[60].near_next == 1
 
 
@@ -424,12 +574,49 @@ def test_units_do_not_depend_on_the_rest_of_the_text(spark):
 
 def test_license_scan(spark):
     mit = licenses._MIT
-    rows = [(1, "MIT LICENCE\n\nCopyright (c) 2020 Somebody\n\n" + mit), (2, "Some words.\nReleased under the MIT licence\nlicensed under CC BY-NC 4.0.\nReleased under the MIT License!"), (3, mit + " and more"), (4, None), (5, ""), (None, mit.lower()), (6, "x" * 10000), (6, "x")]
+    wrapped = "\n".join(textwrap.wrap(licenses._ISC + licenses._NO_WARRANTY, 66))
+    rows = [(1, "MIT LICENCE\n\nCopyright (c) 2020 Somebody\n\n" + mit), (2, "Some words.\nReleased under the MIT licence\nlicensed under CC BY-NC 4.0.\nReleased under the MIT License!"), (3, mit + " and more"), (4, None), (5, ""), (None, mit.lower()), (6, "x" * 10000), (6, "x"), (7, "Copyright Somebody Else\n\n" + wrapped.replace("the above copyright", "the above\ncopyright"))]
     got = [tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' license_id", "'d' digest")).collect()]
-    assert got == [(1, "MIT", "", 0), (2, None, "CC-BY-NC-4.0,MIT", 3), (3, None, "", 0), (4, None, "", 0), (5, None, "", 0), (None, "MIT", "", 0), (6, None, "", 0), (6, None, "", 0)]
+    assert got == [(1, "MIT", "", 0), (2, None, "CC-BY-NC-4.0,MIT", 3), (3, None, "", 0), (4, None, "", 0), (5, None, "", 0), (None, "MIT", "", 0), (6, None, "", 0), (6, None, "", 0), (7, "ISC", "", 0)]
     assert licenses.scan(empty(spark)).collect() == []
 
 
+def whole_licences():
+    """(id, text) of the whole licences that this machine has."""
+    names = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause"}
+    ends = ("END OF TERMS AND CONDITIONS", "How to Apply These Terms", "ADDENDUM: How to use", "APPENDIX: How to apply", "Exhibit A - Source Code Form")
+    for file, name in names.items():
+        path = Path("/usr/share/common-licenses") / file
+        if path.exists():
+            text = path.read_text(encoding="utf-8")
+            yield name, text
+            for end in ends:
+                at = text.find(end)
+                if at > len(text) // 2:
+                    yield name, text[:at]
+
+
+def test_whole_licences_by_digest(spark):
+    some = list(whole_licences())
+    rows = [(k, t) for k, (_, t) in enumerate(some)] + [(1000 + k, t + " more") for k, (_, t) in enumerate(some)]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows or [(0, None)], "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(some))] == [name for name, _ in some] and not any(got[1000 + k] for k in range(len(some)))
+
+
+def test_licence_oracle_agrees(spark, tmp_path):
+    import duckdb
+
+    rows = [(k, t) for k, (_, t) in enumerate([*licenses.KNOWN, *whole_licences()])]
+    rows += [(3000 + k, f"(c) 2020 X\n  Copyright Some One\n# copyright by y\n{t}\nAll rights reserved.\n") for k, (_, t) in enumerate(licenses.KNOWN)]
+    rows += [(5000, "Released under CC BY 4.0.\nnon infringement re-licence &c\n(c) You must\nCOPYRIGHT HOLDERS"), (5001, None), (5002, ""), (None, "MIT License")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet' WHERE doc_id IS NOT NULL")
+        want = sorted(db.sql(licenses.oracle()).fetchall(), key=str)
+    got = licenses.scan(spark.read.parquet(f"{tmp_path}/d").filter("doc_id is not null")).select("doc_id", "license_id", "notices", "n_notices").collect()
+    assert sorted(map(tuple, got), key=str) == want
+
+
 def test_every_known_text_is_found(spark):
     whole = [(k, text) for k, (_, text) in enumerate(licenses.KNOWN)]
     lines = [(1000 + k, "Some words.\n" + text.upper() + "\nmore words") for k, text in whole if "\n" not in text]
@@ -474,7 +661,7 @@ def test_surrogates(spark):
     luhn = lambda x: sum(int(d) if k % 2 == 0 else (2 * int(d)) % 10 + 2 * int(d) // 10 for k, d in enumerate(reversed(x))) % 10 == 0
     assert luhn(by["4111111111111111"]) and not luhn(by["9807915762804490"])
     assert by["Mr Smith"].split()[0] == "Mr" and by["Mr. John Smith"].startswith("Mr. ") and len(by["Mr. John Smith"].split()) == 3
-    assert by["Mr. John Smith"].split()[1] in pii.GIVEN["m"] and re.fullmatch("г-жа [А-Яа-яё]+", by["г-жа Иванова"])
+    assert by["Mr. John Smith"].split()[1] in pii.GIVEN["ml"] and re.fullmatch("г-жа [А-Яа-яё]+", by["г-жа Иванова"])
     assert len({v.lower() for k, v in by.items() if k not in (PLANTED[1], "+1 487 555 7209", "4111-1111-1111-1111")}) == len(PLANTED) - 3
     counts = pii.surrogates(docs).where("doc_id = 200").first()
     assert counts.n_email == 3 and counts.n_phone == 0
@@ -493,7 +680,8 @@ def test_surrogates_do_not_collide(spark):
 
 def test_more_surnames_than_the_first_candidates(spark, monkeypatch):
     """With two syllables a first candidate is one of 16."""
-    monkeypatch.setattr(pii, "SYLLABLES", {"l": ["ba", "de"], "c": ["ба", "де"]})
+    few = {"c": ["ба", "де"], "l": ["ba", "de"]}
+    monkeypatch.setattr(pii, "SYLLABLES", {k: (pattern, few.get(k, parts), n) for k, (pattern, parts, n) in pii.SYLLABLES.items()})
     rows = [(i, f"{title} {name}") for i, (title, name) in enumerate((t, a + b + "n") for t, x in (("Mr", "AEIOU"), ("г-н", "АЕИОУ")) for a in x for b in ("bcdfg" if t == "Mr" else "бвгдж"))]
     rows = [(i, t if t.startswith("Mr") else t[:-1] + "н") for i, t in rows]
     got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
