@@ -1,4 +1,4 @@
-"""The six kinds of error, with the HTTP status a service would answer."""
+"""The six kinds of error of the engine, and two of its service, with the HTTP status a server would answer."""
 
 
 class EngramError(Exception):
@@ -27,3 +27,11 @@ class SerializationError(EngramError):
 
 class CorruptionError(EngramError):
     status = 500
+
+
+class AccessError(EngramError):
+    status = 403
+
+
+class LimitError(EngramError):
+    status = 429

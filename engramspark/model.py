@@ -89,10 +89,10 @@ def edge(identifier: str, source: str, target: str, edge_type: str, properties:
 
 def check_metadata(made: dict[str, dict]) -> None:
     if "embedding" in made:
-        raise ValidationError("embedding is no longer supported in properties; use vectors.default or another named vector")
+        raise ValidationError("a vector does not go into properties as embedding: give it a name under vectors")
     for key in ("timestamp", "importance", "confidence"):
         if key in made and made[key]["kind"] not in ("Integer", "Float"):
-            raise ValidationError(f"{key} must be {'an integer' if key == 'timestamp' else 'a float'}-compatible value")
+            raise ValidationError(f"{key} takes a number, not {made[key]['kind']}")
 
 
 def promote(nodes: DataFrame) -> DataFrame:
@@ -124,6 +124,12 @@ class GraphView:
     edges: DataFrame
     version: int = 0
     vector_index: Any = field(default=None, compare=False)
+    #: The same edges laid out by target, for steps against their direction; the edges themselves where there is no such copy.
+    incoming: DataFrame | None = field(default=None, compare=False)
+
+    @property
+    def edges_by_target(self) -> DataFrame:
+        return self.edges if self.incoming is None else self.incoming
 
     @property
     def spark(self) -> SparkSession:
@@ -135,18 +141,23 @@ class GraphView:
 
     def overlay(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, removed_nodes: DataFrame | None = None, removed_edges: DataFrame | None = None) -> GraphView:
         """This view under added records and removed ids (column id), which hide records of the same id. Edges at a removed node go with it."""
-        own_nodes, own_edges = self.nodes, self.edges
+        own_nodes = self.nodes
         for frame in (removed_nodes, nodes):
             if frame is not None:
                 own_nodes = own_nodes.join(frame.select("id"), "id", "left_anti")
-        for frame in (removed_edges, edges):
-            if frame is not None:
-                own_edges = own_edges.join(frame.select("id"), "id", "left_anti")
         own_nodes = own_nodes.select(*self.nodes.columns) if nodes is None else own_nodes.unionByName(nodes)
-        own_edges = own_edges.select(*self.edges.columns) if edges is None else own_edges.unionByName(edges)
+        gone = None
         if removed_nodes is not None:
             gone = removed_nodes.select("id") if nodes is None else removed_nodes.select("id").join(nodes.select("id"), "id", "left_anti")
-            for end in ("source", "target"):
-                own_edges = own_edges.join(gone.withColumnRenamed("id", end), end, "left_anti")
-            own_edges = own_edges.select(*self.edges.columns)
-        return GraphView(own_nodes, own_edges, self.version)
+
+        def overlaid(own: DataFrame) -> DataFrame:
+            for frame in (removed_edges, edges):
+                if frame is not None:
+                    own = own.join(frame.select("id"), "id", "left_anti")
+            own = own.select(*self.edges.columns) if edges is None else own.unionByName(edges)
+            if gone is not None:
+                for end in ("source", "target"):
+                    own = own.join(gone.withColumnRenamed("id", end), end, "left_anti")
+            return own.select(*self.edges.columns)
+
+        return GraphView(own_nodes, overlaid(self.edges), self.version, incoming=None if self.incoming is None else overlaid(self.incoming))

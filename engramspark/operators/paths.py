@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..model import GraphView
-from .traversal import OUTGOING, REVERSED, Constraints, steps
+from .traversal import HOP_ROWS, OUTGOING, REVERSED, Constraints, steps
 
 
 @dataclass(frozen=True)
@@ -60,8 +60,12 @@ def shortest_path(view: GraphView, source: str, target: str, direction: str = OU
         if depths[side] >= depth:
             side = 1 - side
             continue
-        near = ways[side].where(F.col("near").isin(*fronts[side]))
-        met = near.where(F.col("far").isin(*parents[1 - side])).select("near", "far", "id").orderBy("id").limit(limit).collect()
+        near = ways[side].where(F.col("near").isin(*fronts[side])).select("near", "far", "id")
+        few = near.limit(HOP_ROWS + 1).collect()
+        if len(few) <= HOP_ROWS:  # a level of so many steps is one job
+            met = sorted((r for r in few if r["far"] in parents[1 - side]), key=lambda r: r["id"])[:limit]
+        else:
+            met = near.where(F.col("far").isin(*parents[1 - side])).orderBy("id").limit(limit).collect()
         if met:
             found = []
             for r in met:
@@ -71,11 +75,19 @@ def shortest_path(view: GraphView, source: str, target: str, direction: str = OU
                 found.append((len(edges), tuple(edges if not side else edges[::-1]), tuple(nodes if not side else nodes[::-1])))
             _, edges, nodes = min(found)
             return PathResult(GraphPath(nodes, edges))
-        fresh = near.where(~F.col("far").isin(*parents[side])).groupBy("far").agg(F.min(F.struct("id", "near")).alias("by")).orderBy("far").limit(limit)
+        if len(few) <= HOP_ROWS:
+            by: dict[str, tuple[str, str]] = {}
+            for r in few:
+                if r["far"] not in parents[side]:
+                    by[r["far"]] = min(by.get(r["far"], (r["id"], r["near"])), (r["id"], r["near"]))
+            fresh = [(far, *by[far]) for far in sorted(by)[:limit]]
+        else:
+            rows = near.where(~F.col("far").isin(*parents[side])).groupBy("far").agg(F.min(F.struct("id", "near")).alias("by")).orderBy("far").limit(limit).collect()
+            fresh = [(r["far"], r["by"]["id"], r["by"]["near"]) for r in rows]
         fronts[side] = []
-        for r in fresh.collect():
-            parents[side][r["far"]] = (r["by"]["near"], r["by"]["id"])
-            fronts[side].append(r["far"])
+        for far, edge, before in fresh:
+            parents[side][far] = (before, edge)
+            fronts[side].append(far)
         depths[side] += 1
         side = 1 - side
     return PathResult(None)
@@ -84,4 +96,5 @@ def shortest_path(view: GraphView, source: str, target: str, direction: str = OU
 def path_records(view: GraphView, path: GraphPath) -> tuple[DataFrame, DataFrame]:
     nodes = view.spark.createDataFrame([(i, k) for k, i in enumerate(path.node_ids)], "id string, position int")
     edges = view.spark.createDataFrame([(i, k) for k, i in enumerate(path.edge_ids)], "id string, position int")
-    return view.nodes.join(F.broadcast(nodes), "id"), view.edges.join(F.broadcast(edges), "id")
+    own = view.nodes.where(F.col("id").isin(list(path.node_ids))), view.edges.where(F.col("id").isin(list(path.edge_ids)))
+    return own[0].join(F.broadcast(nodes), "id"), own[1].join(F.broadcast(edges), "id")

@@ -13,7 +13,7 @@ from ..functions import scores as S
 from ..model import GraphView
 from .lookup import within
 from .traversal import distances
-from .vectors import candidates, scored
+from .vectors import candidates, space, uses_index
 
 
 def ranked(
@@ -35,16 +35,19 @@ def ranked(
         raise ValidationError("time range start is after its end")
     limit = config.result_limit(limit)
     top_k = settings.semantic_top_k if top_k is None else config.result_limit(top_k)
+    name = vector_name or config.DEFAULT_VECTOR
     near = distances(view, reference_node_id, 3, edge_type) if reference_node_id is not None else None
-    pool = view.nodes
+    slim = within(view.nodes, from_epoch_ms, to_epoch_ms).select("id", "timestamp_ms", "importance", "confidence", F.col("vectors")[name].alias("vector"))
+    slim = slim.join(near, "id", "left") if near is not None else slim.withColumn("distance", F.lit(None).cast("int"))
     if query_vector is not None:
-        found = candidates(view, query_vector, max(limit, top_k), None, vector_name, settings).select("id")
-        found = found if near is None else found.unionByName(near.select("id")).distinct()
-        if not found.isEmpty():
-            pool = view.nodes.join(found, "id", "left_semi")
-    slim = within(pool, from_epoch_ms, to_epoch_ms).select("id", "timestamp_ms", "importance", "confidence", F.col("vectors")[vector_name or config.DEFAULT_VECTOR].alias("vector"))
+        if uses_index(view, query_vector, name, settings):
+            found = candidates(view, query_vector, max(limit, top_k), None, vector_name, settings).select("id")
+            slim, close = slim.join(found.withColumn("close", F.lit(True)), "id", "left"), F.coalesce("close", F.lit(False))
+        else:  # all that have the vector: a condition, not a join
+            found, close = space(view, vector_name), F.col("vector").isNotNull()
+        if not (found if near is None or near.isEmpty() else near).isEmpty():
+            slim = slim.where(close | F.col("distance").isNotNull())
     semantic = F.coalesce(S.cosine(F.col("vector"), query_vector), F.lit(0.0)) if query_vector is not None else F.lit(0.0)
-    slim = slim.join(near, "id", "left") if near is not None else slim.withColumn("distance", F.lit(None).cast("int"))
     parts = slim.select(
         "id", F.coalesce(S.distance_score(F.col("distance")), F.lit(0.0)).alias("structural"), semantic.alias("semantic"),
         S.recency(F.col("timestamp_ms"), now_epoch_ms).alias("temporal"), S.signal(F.col("importance")).alias("importance"), S.signal(F.col("confidence")).alias("confidence"),
@@ -56,6 +59,3 @@ def ranked(
 
 def score_histogram(results: DataFrame) -> DataFrame:
     return results.groupBy(S.score_band(F.col("score")).alias("band")).count()
-
-
-__all__ = ["ranked", "score_histogram", "scored"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from math import ceil, floor
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from ..model import KINDS, wrap
 COMPARISONS = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b}
 #: Fields with a plain column for their numeric value.
 PLAIN = {"importance": "importance", "confidence": "confidence"}
+#: The timestamp's plain column is whole milliseconds, so it bounds a comparison, and reaches the scan, but does not decide it.
+MILLISECONDS = float(2**53)
 
 
 @dataclass(frozen=True)
@@ -51,6 +54,14 @@ class Predicate:
     def leaves(self) -> int:
         return sum(x.leaves() for x in self.conditions) if self.op in ("and", "or") else 1
 
+    def _bounded(self, compared: Column, content: float) -> Column:
+        """A condition on the timestamp with one on its plain column, which is within 1 of it for numbers in range."""
+        if self.field != "timestamp" or not abs(content) < MILLISECONDS:
+            return compared
+        at, low, high = F.col("timestamp_ms"), F.lit(floor(content) - 1), F.lit(ceil(content) + 1)
+        near = at.between(low, high) if self.op == "eq" else at >= low if self.op in ("gt", "gte") else at <= high
+        return compared & near
+
     def compile(self) -> Column:
         """True or false, never null: a missing property matches nothing."""
         if self.op in ("and", "or"):
@@ -59,10 +70,11 @@ class Predicate:
         content = literal[KINDS[literal["kind"]]]
         if self.op != "eq":
             number = F.col(PLAIN[self.field]) if self.field in PLAIN else as_double(prop)
-            compared = COMPARISONS[self.op](number, F.lit(float(content))) & ~F.isnan(number)
+            compared = self._bounded(COMPARISONS[self.op](number, F.lit(float(content))) & ~F.isnan(number), float(content))
             return F.lit(False) if content != content else F.coalesce(compared, F.lit(False))
         if literal["kind"] in ("Integer", "Float"):
-            same = (as_double(prop) == F.lit(float(content))) if content == content else F.lit(False)
+            number = F.col(PLAIN[self.field]) if self.field in PLAIN else as_double(prop)
+            same = self._bounded(number == F.lit(float(content)), float(content)) if content == content else F.lit(False)
         elif literal["kind"] == "String" and self.field == "unique_key":
             same = F.col("unique_key") == F.lit(content)
         else:

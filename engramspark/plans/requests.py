@@ -135,8 +135,8 @@ class Traverse(Request):
 
     def run(self, view: GraphView, settings: config.VectorConfig) -> Result:
         limits = Constraints.of(self.edge_type, **self.constraints)
-        nodes, edges = traversal.traverse(view, self.start_node_id, self.direction, self.max_hops, self.limit, self.timeout_ms, limits)
-        return Result(self.plan(), nodes, edges)
+        nodes, edges, truncated = traversal.traverse(view, self.start_node_id, self.direction, self.max_hops, self.limit, self.timeout_ms, limits)
+        return Result(self.plan(), nodes, edges, truncated=truncated)
 
 
 @dataclass(frozen=True)

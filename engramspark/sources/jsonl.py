@@ -36,22 +36,28 @@ def export(view: GraphView, path: str) -> None:
     lines(view).repartitionByRange("part", "id").sortWithinPartitions("part", "id").select("value").write.mode("overwrite").text(path)
 
 
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges). Blank lines are skipped; one bad line fails all."""
-    rows = spark.read.text(path).where(F.trim("value") != "")
-    outer = T.StructType([*(T.StructField(n, T.StringType()) for n in ("type", "id", "node_type", "source", "target", "edge_type")), T.StructField("properties", _TEXT), T.StructField("vectors", NODE_RECORD["vectors"].dataType)])
-    parsed = rows.select("value", F.from_json("value", outer, {"mode": "PERMISSIVE"}).alias("r"))
-    bad = parsed.where("r.type is null or r.type not in ('node', 'edge') or r.id is null or (r.type = 'node' and r.node_type is null) or (r.type = 'edge' and (r.source is null or r.target is null or r.edge_type is null))")
-    first = bad.select("value").head(1)
-    if first:
-        raise SerializationError(f"no node or edge: {first[0]['value'][:200]}")
+#: A record as JSON has it; property values stay text until their kind is known.
+RECORD = T.StructType([*(T.StructField(n, T.StringType()) for n in ("type", "id", "node_type", "source", "target", "edge_type")), T.StructField("properties", _TEXT), T.StructField("vectors", NODE_RECORD["vectors"].dataType)])
+
+
+def _typed(_, text):
+    kind = F.get_json_object(text, "$.kind")
+    cells = [F.when(kind == k, F.from_json(text, T.StructType([T.StructField("value", VALUE[c].dataType)]))["value"]).cast(VALUE[c].dataType).alias(c) for k, c in KINDS.items()]
+    return F.struct(kind.alias("kind"), *cells)
 
-    def typed(_, text):
-        kind = F.get_json_object(text, "$.kind")
-        cells = [F.when(kind == k, F.from_json(text, T.StructType([T.StructField("value", VALUE[c].dataType)]))["value"]).cast(VALUE[c].dataType).alias(c) for k, c in KINDS.items()]
-        return F.struct(kind.alias("kind"), *cells)
 
-    properties = F.coalesce(F.transform_values("r.properties", typed), F.create_map().cast(T.MapType(T.StringType(), VALUE))).alias("properties")
+def frames(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """parsed (value, r: a RECORD) -> (nodes, edges); one record that is neither fails all."""
+    bad = parsed.where("r.type is null or r.type not in ('node', 'edge') or r.id is null or (r.type = 'node' and r.node_type is null) or (r.type = 'edge' and (r.source is null or r.target is null or r.edge_type is null))")
+    if first := bad.select("value").head(1):
+        raise SerializationError(f"no node or edge: {first[0]['value'][:200]}")
+    properties = F.coalesce(F.transform_values("r.properties", _typed), F.create_map().cast(T.MapType(T.StringType(), VALUE))).alias("properties")
     vectors = F.coalesce("r.vectors", F.create_map().cast(NODE_RECORD["vectors"].dataType)).alias("vectors")
     nodes = promote(parsed.where("r.type = 'node'").select("r.id", "r.node_type", properties, vectors))
     return nodes, parsed.where("r.type = 'edge'").select(*(f"r.{c}" for c in EDGE_RECORD.names[:-1]), properties)
+
+
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges). Blank lines are skipped; one bad line fails all."""
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    return frames(rows.select("value", F.from_json("value", RECORD, {"mode": "PERMISSIVE"}).alias("r")))

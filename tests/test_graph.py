@@ -1,20 +1,26 @@
 """Operators on small graphs with known answers."""
 
+import json
 import random
+import threading
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from engramspark import config
-from engramspark.errors import ConflictError, CorruptionError, NotFoundError, SerializationError, ValidationError
+from engramspark.__main__ import main
+from engramspark.errors import AccessError, ConflictError, CorruptionError, LimitError, NotFoundError, SerializationError, ValidationError
 from engramspark.functions import scores
+from engramspark.functions.stats import nearest_rank
 from engramspark.model import GraphView, check_id, edge, edges_frame, namespace_of, node, nodes_frame
 from engramspark.operators import consolidation, lookup, paths, ranking, traversal, vectors
 from engramspark.operators.traversal import BOTH, INCOMING, OUTGOING, Constraints
 from engramspark.plans import predicates as P
 from engramspark.plans import requests as R
-from engramspark.service import AuditLog, Cluster, Keys, Principal, TokenBucket, latency_histogram, prometheus, within_budget
-from engramspark.sources import jsonl
+from engramspark.service import AuditLog, Cluster, Keys, Principal, Service, TokenBucket, latency_histogram, prometheus, within_budget
+from engramspark.sources import jsonl, legacy
+from engramspark.sources.files import Files
 from engramspark.sources.store import Batch, Store
 from engramspark.streaming.replication import Follower
 
@@ -34,8 +40,8 @@ def chain(spark):
 def test_neighbors_traverse_and_path(chain):
     nodes, edges = traversal.neighbors(chain, "a", OUTGOING)
     assert ids(nodes) == ["b"] and ids(edges) == ["ab"]
-    nodes, edges = traversal.traverse(chain, "a", OUTGOING, 2, constraints=Constraints.of("relates_to", node_labels=["memory"]))
-    assert {r["id"]: r["depth"] for r in nodes.collect()} == {"a": 0, "b": 1, "c": 2} and set(ids(edges)) == {"ab", "bc"}
+    nodes, edges, truncated = traversal.traverse(chain, "a", OUTGOING, 2, constraints=Constraints.of("relates_to", node_labels=["memory"]))
+    assert {r["id"]: r["depth"] for r in nodes.collect()} == {"a": 0, "b": 1, "c": 2} and set(ids(edges)) == {"ab", "bc"} and not truncated
     found = paths.shortest_path(chain, "a", "c")
     assert found.path.node_ids == ("a", "b", "c") and found.path.edge_ids == ("ab", "bc") and found.path.hop_count == 2
     assert paths.shortest_path(chain, "c", "a").path is None and paths.shortest_path(chain, "c", "a", INCOMING).path.edge_ids == ("bc", "ab")
@@ -113,6 +119,26 @@ def test_caps_take_the_first_by_rank(spark):
     found = traversal.traverse_ids(view, "n0", OUTGOING, 3, 5, None, Constraints())
     assert [i for i, _ in found.nodes] == ["n0", "n1", "n2", "n3", "n4"] and found.edges == ["e01", "e02", "e03", "e04", "e05"] and found.truncated
     assert paths.shortest_path(view, "n0", "n29", limit=3).truncated
+    assert R.execute(view, R.Traverse("n0", OUTGOING, max_hops=3, limit=5)).truncated and not R.execute(view, R.Traverse("n0", OUTGOING, max_hops=3, limit=100)).truncated
+
+
+def test_large_hops_give_what_small_ones_do(spark, monkeypatch):
+    """Hops beyond what the driver takes at once are cut or joined on the executors."""
+    rng = random.Random(8)
+    links = [(f"e{i:03d}", f"v{rng.randrange(30)}", f"v{rng.randrange(30)}") for i in range(90)]
+    view = GraphView.of(spark, [node(f"v{i}", "t") for i in range(30)], [edge(i, s, t, "r") for i, s, t in links])
+
+    def everything():
+        walk = [traversal.traverse_ids(view, "v0", BOTH, 3, limit, None, Constraints()) for limit in (1000, 12)]
+        path = [paths.shortest_path(view, "v0", f"v{i}", OUTGOING, limit=1000).path for i in (5, 11, 17)]
+        return walk, path, sorted(map(tuple, traversal.distances(view, "v0", 2).select("id", "distance").collect()))
+
+    small = everything()
+    monkeypatch.setattr(traversal, "HOP_ROWS", 2)
+    monkeypatch.setattr(paths, "HOP_ROWS", 2)
+    large = everything()
+    assert small[0][0] == large[0][0] and small[0][1] == large[0][1] and small[2] == large[2]
+    assert [p and p.hop_count for p in small[1]] == [p and p.hop_count for p in large[1]]
 
 
 def test_random_graphs_against_plain_search(spark):
@@ -125,7 +151,7 @@ def test_random_graphs_against_plain_search(spark):
         depth, front = {"v0": 0}, ["v0"]
         while front:
             front = [t for s in front for t in out[s] if t not in depth and not depth.__setitem__(t, depth[s] + 1)]
-        nodes, edges = traversal.traverse(view, "v0", OUTGOING, 3, 1000)
+        nodes, edges, _ = traversal.traverse(view, "v0", OUTGOING, 3, 1000)
         assert {r["id"]: r["depth"] for r in nodes.collect()} == {k: d for k, d in depth.items() if d <= 3}
         assert set(ids(edges)) == {i for i, s, _ in links if depth.get(s, 9) <= 2}
         starts = spark.createDataFrame([("v0",), ("v1",), ("gone",)], "id string")
@@ -307,18 +333,18 @@ def test_streamed_response(chain):
 def test_service(spark, chain):
     keys = Keys({"k": Principal("me", "writer")})
     assert keys.principal("k").may("write") and not keys.principal("k").may("admin")
-    with pytest.raises(NotFoundError):
+    with pytest.raises(AccessError):
         keys.principal("x")
     now = [0.0]
     bucket = TokenBucket(2, 1.0, lambda: now[0])
     assert [bucket.take() for _ in range(3)] == [True, True, False]
     now[0] = 1.0
     assert bucket.take()
-    log = AuditLog(2)
+    log = AuditLog(spark, retain=2)
     for ms in (5, 60, 2000):
         log.append("me", "query", ms=ms)
-    assert len(log.export(10)) == 2 and {r["band"] for r in latency_histogram(log.frame(spark)).collect()} == {"le_250", "gt_1000"}
-    assert 'band="gt_1000"} 1' in prometheus(latency_histogram(log.frame(spark)))
+    assert len(log.export(10)) == 2 and {r["band"] for r in latency_histogram(log.frame()).collect()} == {"le_250", "gt_1000"}
+    assert 'band="gt_1000"} 1' in prometheus(latency_histogram(log.frame()))
     assert within_budget(chain) == {"nodes": 3, "edges": 2}
     with pytest.raises(ValidationError):
         within_budget(chain, config.MaintenanceBudget(1, 1))
@@ -326,6 +352,222 @@ def test_service(spark, chain):
     cluster.join("a", "leader")
     cluster.join("b")
     cluster.acknowledge("a", 5)
-    assert cluster.promote("b") == 2 and cluster.leader().name == "b" and cluster.topology()[1]["lag"] == 5
+    assert [m["lag"] for m in cluster.topology()] == [0, 5]
+    assert cluster.promote("b") == 2 and cluster.leader().name == "b" and [m["lag"] for m in cluster.topology()] == [0, 0]
+    cluster.report("a", False)
+    with pytest.raises(ConflictError):
+        cluster.promote("a")
     with pytest.raises(ValidationError):
         config.VectorConfig(backend="other")
+
+
+def test_audit_log_is_durable(spark, tmp_path):
+    log = AuditLog(spark, f"{tmp_path}/audit", retain=4, segment=2)
+    for i in range(11):
+        log.append("me", "query", str(i), ms=i)
+    log.flush()
+    again = AuditLog(spark, f"{tmp_path}/audit", retain=4)
+    assert [json.loads(x)["target"] for x in again.export(3)] == ["8", "9", "10"] and again.export(0) == []
+    assert 4 <= again.frame().count() <= 6
+
+
+def test_calls_of_the_service(spark, tmp_path):
+    keys = Keys({"r": Principal("reader", "reader"), "w": Principal("writer", "writer"), "a": Principal("admin", "admin")})
+    service = Service(Store(spark, f"{tmp_path}/s"), keys, config.MaintenanceBudget(3, 3))
+    assert service.create_node("w", node("a", "t", {"v": 1})) == 1 and service.put_node("w", "b", node("b", "t")) == 2
+    assert service.create_edge("w", edge("e", "a", "b", "r")) == 3
+    with pytest.raises(ValidationError):
+        service.put_node("w", "c", node("b", "t"))
+    with pytest.raises(AccessError):
+        service.delete_node("r", "a")
+    with pytest.raises(NotFoundError):
+        service.delete_edge("w", "none")
+    assert service.get_node("r", "a")["properties"]["v"]["i"] == 1 and service.get_edge("r", "e")["target"] == "b"
+    tx = service.begin("w")
+    assert service.stage("w", tx, "upsert_node", node("a", "t", {"v": 2}))["nodes"] == 1
+    assert [t["id"] for t in service.transactions("r")] == [tx]
+    seen = lambda transaction=None: dict(service.query("r", {"GetNodeById": {"node_id": "a"}}, transaction))["node"]["properties"]["v"]["i"]
+    assert seen() == 1 and seen(tx) == 2
+    assert json.loads(list(service.stream("r", {"SearchByLabel": {"label": "t"}}))[-1])["items"] == 2
+    assert service.commit("w", tx) == 4 and service.transactions("r") == [] and seen() == 2
+    with pytest.raises(NotFoundError):
+        service.rollback("w", tx)
+    with pytest.raises(AccessError):
+        service.compact("w")
+    assert service.compact("a") == 4 and service.integrity("a") == [] and service.maintenance("a")["within_budget"]
+    assert service.prune("a") == [1, 2, 3, 4]
+    for i in range(2):
+        service.create_node("w", node(f"n{i}", "t"))
+    with pytest.raises(ValidationError):
+        service.backup("a", f"{tmp_path}/b")
+    service.join("a", "one", "leader")
+    service.acknowledge("a", "one", 6)
+    service.join("a", "two")
+    assert [m["lag"] for m in service.replication("a")["members"]] == [0, 6] and service.promote("a", "two") == 2
+    assert json.loads(service.audit_export("a", 1)[0])["action"] == "promote" and "engram_latency_count" in service.metrics("a")
+    slow = Service(service.store, keys, burst=1, rate=0.0, clock=lambda: 0.0)
+    slow.get_node("r", "a")
+    with pytest.raises(LimitError):
+        slow.get_node("r", "a")
+    slow.get_node("w", "a")
+
+
+def test_of_racing_writers_one_wins(spark, tmp_path):
+    files = Files(spark)
+    for i in range(20):
+        won, lost = [], []
+
+        def write(n, i=i, won=won, lost=lost):
+            try:
+                files.write(f"{tmp_path}/race/{i}.json", str(n).encode())
+                won.append(n)
+            except ConflictError:
+                lost.append(n)
+
+        threads = [threading.Thread(target=write, args=(n,)) for n in range(6)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        assert len(won) == 1 and len(lost) == 5 and files.read(f"{tmp_path}/race/{i}.json") == str(won[0]).encode()
+    assert all(n.endswith(".json") for n in files.names(f"{tmp_path}/race"))
+
+
+def test_a_commit_between_check_and_publish_is_not_lost(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"{tmp_path}/s")
+    store.write(Batch([node("a", "t", {"v": 1}), node("b", "t", {"v": 1})]))
+    for name, rival, fails in (("a", "a", True), ("a", "b", False)):
+        tx, other, real, raced = store.begin(), Store(spark, store.base), Store.write, []
+        tx.upsert_node(node(name, "t", {"v": 10}))
+
+        def write(self, batch, expected=None, real=real, raced=raced, other=other, rival=rival):
+            if not raced:
+                raced.append(1)
+                real(other, Batch([node(rival, "t", {"v": 7})]))
+            return real(self, batch, expected)
+
+        monkeypatch.setattr(Store, "write", write)
+        if fails:
+            with pytest.raises(ConflictError):
+                tx.commit()
+        else:
+            tx.commit()
+        monkeypatch.undo()
+        values = {r["id"]: r["properties"]["v"]["i"] for r in store.view().nodes.collect()}
+        assert values[rival] == 7 and (fails or values[name] == 10)
+
+
+def test_changed_data_is_found(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    store.write(Batch([node("a", "t", {"v": 1})]))
+    store.compact()
+    assert store.verify() == []
+    for path, what in ((f"{store.base}/{store.commit_record(1)['path']}/nodes", "commit 1"), (f"{store.base}/snapshots/1/nodes", "snapshot 1")):
+        rows = spark.createDataFrame(spark.read.parquet(path).withColumn("node_type", F.lit("u")).collect(), spark.read.parquet(path).schema)
+        rows.write.mode("overwrite").parquet(path)
+        assert [p for p in store.verify() if p.startswith(what)] == [f"{what}: nodes was changed"]
+
+
+def test_prune_keeps_what_it_says(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    for i in range(3):
+        store.write(Batch([node(f"n{i}", "t")]))
+    store.compact()
+    old = store.begin()
+    for i in range(3, 6):
+        store.write(Batch([node(f"n{i}", "t"), node("x", "t", {"v": i})], [edge(f"e{i}", f"n{i}", "n0", "r")]))
+    assert store.prune(keep=2) == [1, 2, 3] and store.pruned() == 3
+    assert store.verify() == [] and store.version == 6 and len(ids(store.view(4).nodes)) == 5 and len(ids(store.view().nodes)) == 7
+    with pytest.raises(NotFoundError):
+        store.view(2)
+    assert sorted(r["far"] for r in traversal.steps(store.view(), INCOMING).where("near = 'n0'").collect()) == ["n3", "n4", "n5"]
+    old.upsert_node(node("y", "t"))
+    assert old.commit() == 7
+    stale = store.begin()
+    store.write(Batch([node("z", "t")]))
+    store.prune()
+    stale.upsert_node(node("q", "t"))
+    with pytest.raises(ConflictError):
+        stale.commit()
+    back = Store.restore(spark, f"{tmp_path}/b", f"{tmp_path}/r") if store.backup(f"{tmp_path}/b") else None
+    assert back.version == store.version and sorted(ids(back.view().nodes)) == sorted(ids(store.view().nodes)) and back.verify() == []
+
+
+def test_index_is_opened_again(spark, tmp_path):
+    rng = random.Random(3)
+    store = Store(spark, f"{tmp_path}/s")
+    store.write(Batch([node(f"n{i:03d}", "t", vectors={"default": [rng.gauss(0, 1) for _ in range(6)]}) for i in range(200)]))
+    assert store.view().vector_index is None
+    store.build_index(settings=config.VectorConfig(lists=8))
+    view = Store(spark, store.base).view()
+    assert view.vector_index.size == 200 and view.vector_index.dimension == 6
+    memory = vectors.space(view)
+    queries = memory.where("id like '%0'").select(F.col("id").alias("query_id"), "vector")
+    exact = vectors.search_batch(memory, queries, 7)
+    for probes, block in ((1, 4096), (3, 4)):
+        near = view.vector_index.search_batch(queries, 7, probes, block)
+        assert vectors.recall(exact, near, 7).first().asDict() == {"queries": 20, "recall": 1.0}
+        assert sorted((r.query_id, r.id, r["rank"]) for r in near.collect()) == sorted((r.query_id, r.id, r["rank"]) for r in exact.collect())
+    store.write(Batch([node("more", "t")]))
+    assert store.view().vector_index is None and store.rebuild_indexes(config.VectorConfig(lists=8)) == ["default"] and store.view().vector_index.size == 200
+
+
+def test_nearest_rank(spark):
+    rng = random.Random(7)
+    for values in ([3.0], [1.0, 1.0, 2.0], [rng.gauss(0, 1) for _ in range(500)] + [0.5] * 100 + [1e9, -1e9], [5.0] * 9):
+        frame = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+        got = {r.percent: r.value for r in nearest_rank(frame, "v", [1, 33.3, 50, 95, 100]).collect()}
+        own = sorted(values)
+        assert got == {float(p): own[max(1, -(-len(own) * p // 100) if isinstance(p, int) else int(-(-len(own) * p // 100))) - 1] for p in (1, 33.3, 50, 95, 100)}
+    assert nearest_rank(spark.createDataFrame([], "v double"), "v", [50]).collect() == []
+    with pytest.raises(ValidationError):
+        nearest_rank(spark.createDataFrame([], "v double"), "v", [0])
+
+
+def test_store_of_the_first_format(spark, tmp_path):
+    nodes = json.dumps({"format_version": 1, "records": [{"id": "node_a", "node_type": "memory", "properties": {"timestamp": {"kind": "Integer", "value": 1000}}}]}, indent=2)
+    edges = json.dumps({"format_version": 1, "records": []}, indent=2)
+    files = {}
+    for folder, text in (("nodes", nodes), ("edges", edges)):
+        (tmp_path / folder).mkdir()
+        path = f"{folder}/segment-0000000000000001.snapshot.json"
+        (tmp_path / path).write_text(text)
+        files[path] = {"relative_path": path, "checksum_crc32": zlib.crc32(text.encode())}
+    (tmp_path / "manifest.json").write_text(json.dumps({"storage_version": "1", "files": files}))
+    view = legacy.read(spark, str(tmp_path))
+    assert [(r["id"], r["timestamp_ms"]) for r in view.nodes.collect()] == [("node_a", 1000)] and view.edges.count() == 0
+    (tmp_path / "nodes/segment-0000000000000001.snapshot.json").write_text(nodes.replace("1000", "1001"))
+    with pytest.raises(CorruptionError):
+        legacy.read(spark, str(tmp_path))
+    with pytest.raises(NotFoundError):
+        legacy.read(spark, f"{tmp_path}/none")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    base = f"{tmp_path}/s"
+
+    def run(*arguments):
+        code = main([base, *arguments], spark)
+        out, err = capsys.readouterr()
+        return (code, err) if code else [json.loads(x) for x in out.splitlines()]
+
+    assert run("put-node", json.dumps({"id": "a", "node_type": "t", "properties": {"v": 1}, "vectors": {"default": [1, 0]}})) == [{"version": 1}]
+    batch = {"nodes": [{"id": "b", "node_type": "t", "vectors": {"default": [0, 1]}}], "edges": [{"id": "e", "source": "a", "target": "b", "edge_type": "r"}]}
+    assert run("write", json.dumps(batch)) == [{"version": 2}]
+    assert run("get-node", "a")[0]["properties"]["v"]["i"] == 1 and run("get-edge", "e")[0]["source"] == "a"
+    assert run("get-node", "none")[0] == 1 and run("labels") == [{"t": 2}]
+    (answer,) = run("query", json.dumps({"ListNeighbors": {"node_id": "a", "direction": "Outgoing"}}))
+    assert [x["id"] for x in answer["items"]] == ["b", "e"] and not answer["truncated"]
+    assert run("query-lines", json.dumps({"SearchByLabel": {"label": "t"}}))[-1]["items"] == 2
+    assert run("query", json.dumps({"Nothing": {}}))[1].startswith("ValidationError")
+    assert run("index")[0]["vectors"] == 2 and run("index-quality", "--every", "1", "--k", "2") == [{"queries": 2, "recall": 1.0}]
+    assert run("compact") == [{"version": 2}] and run("verify") == [{"problems": []}]
+    assert run("export-lines", f"{tmp_path}/lines")[0]["version"] == 2
+    assert main([f"{tmp_path}/t", "import-lines", f"{tmp_path}/lines"], spark) == 0
+    assert run("drill", "--folder", f"{tmp_path}/drill")[-1]["passed"]
+    assert run("backup", f"{tmp_path}/backup")[-1]["version"] == 2
+    assert main([f"{tmp_path}/u", "restore", f"{tmp_path}/backup"], spark) == 0 and Store(spark, f"{tmp_path}/u").version == 2
+    capsys.readouterr()
+    assert run("consolidate", "--now", "1")[0]["events"] == {} and run("delete-edge", "e") == [{"version": 3}] and run("delete-node", "b") == [{"version": 4}]
+    assert run("prune") == [{"dropped": [1, 2, 3, 4]}] and run("status")[0]["pruned"] == 4
+    assert run("topology") == [{"term": 1, "members": []}] and run("audit") == []
