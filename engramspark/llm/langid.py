@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .scratch import ship
 
 BUCKETS, DIMENSIONS, ORDERS = 1 << 13, 16, (1, 2, 3, 4)
-#: Rows per language, about, that the model is fitted on, and rows at most: the bound on what the driver gets.
+#: Texts per language that the model is fitted on, and texts at most: the bound on what the driver gets. MOST / 10 languages are
+#: learned at most, those with the most different texts.
 QUOTA, MOST, CROP = 700, 7000, 48
 EPOCHS, RATE, BATCH, REFUSED = 30, 4.0, 32, 0.002
 
@@ -45,6 +46,7 @@ def counts_of(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+@W.frugal
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Non-zero counts of whole texts and of a short span of each."""
     for batch in batches:
@@ -62,6 +64,31 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([lang, *(pa.array(x) for x in rows[1:3]), pa.array(rows[3], pa.binary())], names=["lang", "whole", "at", "n"])
 
 
+@dataclass
+class Rows:
+    """Rows of counts, each divided by its sum, without the zeros: a few megabytes, however wide a row is."""
+
+    at: np.ndarray  # buckets of all rows
+    share: np.ndarray
+    offs: np.ndarray
+
+    @staticmethod
+    def of(at: list[bytes], n: list[bytes]) -> Rows:
+        shares = [x / max(1.0, x.sum()) for x in (np.frombuffer(b, np.float32) for b in n)]
+        offs = np.cumsum([0, *map(len, shares)])
+        return Rows(np.frombuffer(b"".join(at), np.int16), np.concatenate([*shares, np.zeros(0, np.float32)]), offs)
+
+    def __len__(self) -> int:
+        return len(self.offs) - 1
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), BUCKETS), np.float32)
+        for i, r in enumerate(rows):
+            own = slice(self.offs[r], self.offs[r + 1])
+            out[i, self.at[own]] = self.share[own]
+        return out
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -77,9 +104,8 @@ class Model:
         return best, float(p[best] / p.sum())
 
 
-def train(x: np.ndarray, y: np.ndarray, k: int, own: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """x: rows of counts, each divided by its sum; own: the rows to learn from, which are not copied. Returns the folded
-    scores and the bias."""
+def train(x: Rows, y: np.ndarray, k: int, own: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """own: the rows of x to learn from; only those of one step are ever dense. Returns the folded scores and the bias."""
     random = np.random.default_rng(seed)
     embeddings = random.normal(0, 0.5, (BUCKETS, DIMENSIONS)).astype(np.float32)
     linear, bias = random.normal(0, 0.1, (DIMENSIONS, k)).astype(np.float32), np.zeros(k, np.float32)
@@ -87,7 +113,7 @@ def train(x: np.ndarray, y: np.ndarray, k: int, own: np.ndarray, seed: int = 5)
     for _ in range(EPOCHS):
         for rows in np.array_split(own[random.permutation(len(own))], -(-len(own) // BATCH)):
             rate, step = RATE * (1 - step / steps), step + 1
-            f = x[rows]
+            f = x.dense(rows)
             mean = f @ embeddings
             p = np.exp((z := mean @ linear + bias) - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -114,32 +140,66 @@ def calibrate(logits: np.ndarray, y: np.ndarray, refused: float) -> tuple[float,
     return float(t), float(min(0.5, np.quantile(right, refused))) if len(right) else 0.0
 
 
-def fit(labelled: DataFrame, quota: int = QUOTA, most: int = MOST, refused: float = REFUSED) -> Model:
-    """labelled (lang, text): about quota rows of each language, by a hash of the text, most in all. A fifth of them
-    is held out for calibration."""
-    known = labelled.filter("lang is not null and text is not null and text <> ''")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most // 10).collect()}
+def sample(labelled: DataFrame, quota: int, most: int) -> tuple[list[str], DataFrame]:
+    """labelled (lang, text) -> the languages that are learned, and their texts to learn from (lang, text).
+
+    Of each language the quota different texts with the smallest hashes (fewer where there are more languages than most / quota;
+    all where there are no more), whatever the number of copies. Of the languages, the most / 10 with the most different texts, by name where these
+    are as many. The estimate of different texts only bounds how many are ranked."""
+    order = F.pmod(F.xxhash64("text"), F.lit(1_000_003))
+    known = labelled.filter("lang is not null and text is not null and text <> ''").select("lang", "text", order.alias("order"), F.xxhash64("text").alias("hash"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, most // 10)).collect()
     if not sizes:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
-    each = min(quota, most // len(sizes))
-    limits = F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, each / n))))
-    chosen = known.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < limits[F.col("lang")] * 1_000_003)
-    rows = chosen.select("lang", "text").mapInArrow(_sample, "lang string, whole boolean, at binary, n binary")
-    rows = rows.limit(3 * most).toPandas().sort_values(["lang", "whole", "at", "n"], kind="stable")
-    languages = sorted(set(rows["lang"]))
-    x, y = np.zeros((len(rows), BUCKETS), np.float32), rows["lang"].map(languages.index).to_numpy()
-    for i, (at, n) in enumerate(zip(rows["at"], rows["n"])):
-        x[i, np.frombuffer(at, np.int16)] = np.frombuffer(n, np.float32)
-    x /= np.maximum(1, x.sum(axis=1, keepdims=True))
-    whole_rows = rows.pop("whole").to_numpy()
-    del rows
+        return [], known.select("lang", "text").limit(0)
+    each = max(1, min(quota, most // len(sizes)))
+    limits = F.create_map(*(F.lit(v) for r in sizes for v in (r["lang"], min(1.0, (2 * each + 20) / max(1, r["n"])))))
+    near = known.filter(F.col("order") < limits[F.col("lang")] * 1_000_003).groupBy("lang", "order", "hash").agg(F.min("text").alias("text"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "hash")))
+    return sorted(r["lang"] for r in sizes), ranked.filter(F.col("rank") <= each).select("lang", "text")
+
+
+def learn(lang: list[str], whole: list[bool], at: list[bytes], n: list[bytes], languages: list[str], refused: float) -> Model:
+    """The model of rows of _sample(), in any order. A fifth of the rows is held out for calibration."""
+    order = sorted(range(len(lang)), key=lambda i: (lang[i], whole[i], at[i], n[i]))
+    y = np.searchsorted(languages, [lang[i] for i in order])
+    x = Rows.of([at[i] for i in order], [n[i] for i in order])
     held = np.random.default_rng(11).random(len(x)) < 0.2
     if held.all() or not held.any():
         held[:] = False
     scores, bias = train(x, y, len(languages), np.flatnonzero(~held))
-    whole = held & whole_rows
-    temperature, refuse = calibrate(x[whole] @ scores + bias, y[whole], refused) if whole.any() else (1.0, 0.0)
-    return Model(languages, scores, bias, temperature, refuse)
+    known = np.flatnonzero(held & np.array([whole[i] for i in order], bool))
+    if not len(known):
+        return Model(languages, scores, bias, 1.0, 0.0)
+    logits = np.concatenate([x.dense(part) @ scores for part in np.array_split(known, -(-len(known) // 256))]) + bias
+    return Model(languages, scores, bias, *calibrate(logits, y[known], refused))
+
+
+def _learn(languages: list[str], refused: float):
+    @W.frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list] = [[], [], [], []]
+        for batch in batches:
+            for column, values in zip(columns, batch.columns):
+                column += values.to_pylist()
+        model = learn(*columns, languages, refused)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (model.scores, model.bias)] + [pa.array([float(x)]) for x in (model.temperature, model.refuse_below)], names=["scores", "bias", "temperature", "refuse_below"]
+        )
+
+    return run
+
+
+def fit(labelled: DataFrame, quota: int = QUOTA, most: int = MOST, refused: float = REFUSED) -> Model:
+    """labelled (lang, text): learns from sample(), which is bounded, in one task; the driver gets the model alone. Rows without a
+    language or text do not count; without others nothing is learned, and every prediction is und."""
+    ship(labelled.sparkSession)
+    languages, chosen = sample(labelled, quota, most)
+    if not languages:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
+    rows = chosen.mapInArrow(_sample, "lang string, whole boolean, at binary, n binary").repartition(1)
+    row = rows.mapInArrow(_learn(languages, refused), "scores binary, bias binary, temperature double, refuse_below double").first()
+    scores, bias = (np.frombuffer(bytes(x), "<f4").reshape(-1, len(languages)) for x in (row["scores"], row["bias"]))
+    return Model(languages, scores, bias[0], row["temperature"], row["refuse_below"])
 
 
 def _has_letter(own: np.ndarray) -> bool:
@@ -149,6 +209,7 @@ def _has_letter(own: np.ndarray) -> bool:
 
 
 def _predict(model: Model):
+    @W.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = W.utf8(batch.column(1))
@@ -182,7 +243,6 @@ def held_out() -> Column:
 
 def identify(docs: DataFrame) -> DataFrame:
     """Fits on the labelled rows that are not held out and predicts all: doc_id, held_out, lang_pred, score, rejected."""
-    ship(docs.sparkSession)
     model = fit(docs.filter(~held_out()).select("lang", "text"))
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
@@ -190,10 +250,10 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language the model does not reject, with all their columns; each row is judged by its
     own text, whatever its id. No shuffle."""
-    ship(docs.sparkSession)
     model = fit(docs.filter(~held_out()).select("lang", "text"))
     columns = docs.columns
 
+    @W.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decide = _predict(model)
         for batch in batches:
