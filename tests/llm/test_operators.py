@@ -668,6 +668,40 @@ def test_surrogates(spark):
     assert pii.surrogates(empty(spark)).collect() == []
 
 
+def test_parts_of_names_map_one_to_one(spark):
+    """All mentions of a name, with other titles, in capitals, without a title, agree; different names differ; all else stays."""
+    rng = random.Random(41)
+    capital = lambda alphabet, n: "".join(rng.choices(alphabet, k=n)).capitalize()
+    families = [*{capital("abcdefgh", 6) for _ in range(60)}, "O'Neil", "McDonald", "Smith-Jones", "van der Berg", "García"]
+    given = [*{capital("ijklmnop", 5) for _ in range(30)}, "José"]
+    rows, plans = [], {}
+    for i in range(150):
+        name, first = rng.choice(families), rng.choice(given)
+        title, other = rng.choice([("Mr", "Herr"), ("Mrs.", "Frau"), ("Señora", "Ms")])
+        plan = [("", "the"), (f"{title} ", f"{first} {name}"), ("", "met 12"), (f"{other} ", name), ("", "and"), ("Dr. ", name.upper() if "-" not in name and " " not in name else name), ("", "so"), ("bare", f"{first} {name}"), ("", "left")]
+        plans[i] = plan
+        rows.append((i, " ".join((t if t != "bare" else "") + x for t, x in plan)))
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    to = defaultdict(set)
+    for i, plan in plans.items():
+        pattern = " ".join(re.escape(x) if not t else re.escape(t if t != "bare" else "") + "(.+?)" for t, x in plan)
+        found = iter(re.fullmatch(pattern, got[i]).groups())
+        gender = {"M": "m", "H": "m"}.get(plan[1][0][0], "f") if plan[1][0] != "Mrs. " else "f"
+        for t, x in plan:
+            if t:
+                parts, news = re.split("[ -]", x), re.split("[ -]", next(found))
+                assert len(parts) == len(news)
+                for k, (old, new) in enumerate(zip(parts, news)):
+                    assert (old == new) == (old in pii.PARTICLES)
+                    if old not in pii.PARTICLES:
+                        assert old.isupper() == new.isupper() and new[0].isupper()
+                        to["given " + gender + old if k == 0 and x.startswith(tuple(f"{g} " for g in given)) else "family " + old.lower()].add(new.lower())
+    assert all(len(x) == 1 for x in to.values())
+    for kind in ("given m", "given f", "family "):
+        names = [next(iter(x)) for k, x in to.items() if k.startswith(kind)]
+        assert len(set(names)) == len(names) and not set(names) & {k.removeprefix(kind).lower() for k in to if k.startswith(kind)}
+
+
 def test_surrogates_do_not_collide(spark):
     """Many short addresses, so that first candidates collide."""
     rows = [(i, f"write to {a}{b}@x.example.com now") for i, (a, b) in enumerate((a, b) for a in "abcdefghijklmnopqrstuvwxyz" for b in range(10))]
