@@ -76,6 +76,7 @@ def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.searchsorted(offs, starts, side="right") - 1, starts, lasts + LEAST, h[owner[first]], owner[first]
 
 
+@W.frugal
 def _anchors_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each block's distinct anchors and how many chunks have them."""
     for batch in batches:
@@ -96,6 +97,7 @@ def merged(group: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return group[first], starts[first], reach[np.append(first[1:], len(starts)) - 1]
 
 
+@W.frugal
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each different chunk of a text (of a piece, where it is taken in pieces); later holds the union of its further
     occurrences there, as start, end, start, end: a periodic text has few rows."""
@@ -120,6 +122,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@W.frugal
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts are compressed before they are shuffled."""
     squeeze = zstandard.ZstdCompressor(level=3)
@@ -129,6 +132,7 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
 
+@W.frugal
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the chunks that a text was asked for."""
     expand = zstandard.ZstdDecompressor()
@@ -164,6 +168,7 @@ def divided(raw: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray,
 def _divide(width: int):
     """Rows (doc_id, start, bytes) -> one for each stretch: anchor (the key), chunk (a hash of its bytes), doc_id, start, bytes."""
 
+    @W.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = W.utf8(batch.column(2))
@@ -250,6 +255,7 @@ def covered(docs: np.ndarray, starts: np.ndarray, chunks: list[bytes]) -> tuple[
     return merged(chunk[some], place[some], place[some] + reach[some])
 
 
+@W.frugal
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (anchor, doc_id, start, bytes), sorted by anchor -> spans to remove."""
     held: list[tuple] = []
@@ -269,6 +275,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+@W.frugal
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor()
     for batch in batches:
