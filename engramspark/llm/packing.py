@@ -100,21 +100,24 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, with_ids: b
     grows with n itself. Repeated rows each get their own slot; null doc_id is carried. Empty table: no rows. Other columns are ignored."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     path = path or bpe.default_vocabulary()
-    columns = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_cut(path, size, with_ids), columns)
-    pieces = scratch.cut(cut, "pieces")
+    columns = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    pieces = scratch.cut(two.mapInArrow(_cut(path, size, False), columns), "pieces")
+    # ids are made again where they are wanted, which costs less than a second copy of them on disk
+    placing = two.mapInArrow(_cut(path, size, True), columns + ", ids array<int>") if with_ids else pieces
 
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs, _ = plan(counts, size)
     # both tables are bounded by size, not by the corpus
     spread = spark.createDataFrame([(length, isqrt(n - 1) + 1) for length, n in counts.items()], "length long, salts long")
     slots = spark.createDataFrame(runs, "length long, rank_from long, n long, sequence_from long, offset long")
-    salted = pieces.join(F.broadcast(spread), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "salts")).drop("salts")
-    before = salted.groupBy("length", "salt").agg(F.count("*").alias("own"))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "salts")
+    salted = lambda rows: rows.join(F.broadcast(spread), "length").withColumn("salt", salt).drop("salts")
+    before = salted(pieces).groupBy("length", "salt").agg(F.count("*").alias("own"))
     earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     before = scratch.cut(before.select("length", "salt", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before")), "before")
 
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("own", F.row_number().over(order) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
+    ranked = salted(placing).withColumn("own", F.row_number().over(order) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
     placed = ranked.join(F.broadcast(slots), (ranked["length"] == slots["length"]) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_from") + F.col("n")))
     return placed.select("doc_id", "piece", "start", ranked["length"], "ids_crc32", (F.col("sequence_from") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset", *["ids"] * with_ids)
